@@ -75,47 +75,46 @@ def quantile_stats(
     margin = 4.0 / accuracy
     probs = [min(1.0, max(0.0, p + s * margin)) for p in (lo, hi) for s in (-1, 1)]
     clean = df.select(*keys, *[F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in variables])
-
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
     # The sketch is written out: its true size then decides how it is joined,
-    # and the second pass does not repeat the first.
+    # and the second pass does not repeat the first. Groups too small for the
+    # error bound to cover a rank keep all their values.
     sketch = clean.groupBy(*keys).agg(
-        *[F.percentile_approx(v, probs, accuracy).alias(f"_q_{v}") for v in variables]
+        *[
+            F.when(F.count(v) <= accuracy, F.array(low, high, high, high))
+            .otherwise(F.percentile_approx(v, probs, accuracy)).alias(f"_q_{v}")
+            for v in variables
+        ]
     )
     path = scratch_path(df.sparkSession, "quantile-brackets")
     sketch.write.parquet(path)
     brackets = df.sparkSession.read.parquet(path)
-    pairs = [F.struct(F.lit(v).alias("variable"), F.col(v).alias("value"), F.col(f"_q_{v}").alias("_q")) for v in variables]
-    long = (
-        clean.join(brackets, keys)
-        .select(*keys, F.inline(F.array(*pairs)))
-        .where(F.col("value").isNotNull())
-        .select(*keys, "variable", "value", *[F.col("_q")[i].alias(n) for i, n in enumerate(["_a0", "_a1", "_b0", "_b1"])])
+    pairs = [
+        F.struct(F.lit(v).alias("variable"), F.col(v).alias("value"), F.col(f"_q_{v}").alias("_q")) for v in variables
+    ]
+    long = clean.join(brackets, keys).select(*keys, F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+
+    # Zones in value order: 0 below, 1 lower bracket, 2 between, 3 upper
+    # bracket, 4 above. Only zones 1 and 3 keep single values.
+    v, q = F.col("value"), F.col("_q")
+    zone = (
+        F.when(v < q[0], 0).when(v <= q[1], 1).when(v < q[2], 2).when(v <= q[3], 3).otherwise(4)
     )
-    v = F.col("value")
-    # Values outside both brackets collapse to one representative per zone.
-    zoned = long.withColumn(
-        "_v",
-        F.when(v < F.col("_a0"), F.lit(float("-inf")))
-        .when(v <= F.col("_a1"), v)
-        .when(v < F.col("_b0"), F.col("_a1"))
-        .when(v <= F.col("_b1"), v)
-        .otherwise(F.lit(float("inf"))),
+    counts = (
+        long.select(*keys, "variable", zone.alias("_zone"), "value")
+        .withColumn("_v", F.when(F.col("_zone").isin(1, 3), v))
+        .groupBy(*keys, "variable", "_zone", "_v").agg(F.count("*").alias("_n"))
     )
-    # ``_mid`` marks rows that only fill the gap between the two brackets.
-    counts = zoned.withColumn("_mid", (v > F.col("_a1")) & (v < F.col("_b0"))).groupBy(
-        *keys, "variable", "_v", "_mid"
-    ).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys, "variable").orderBy("_v", "_mid")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys, "variable")
-    cum = counts.withColumns({"_c": F.sum("_n").over(upto), "_t": F.sum("_n").over(total)})
-    usable = ~F.col("_mid") & (F.abs("_v") < F.lit(float("inf")))
+    group = Window.partitionBy(*keys, "variable")
+    upto = group.orderBy("_zone", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.withColumns({"_c": F.sum("_n").over(upto), "_t": F.sum("_n").over(group)})
 
     def rank_value(p: float, step: int) -> Column:
         k = F.least(F.floor(F.lit(p) * (F.col("_t") - 1)) + step, F.col("_t") - 1)
         hit = (F.col("_c") > k) & (F.col("_c") - F.col("_n") <= k)
         # A hit outside the brackets would break the sketch's error bound.
-        return F.max(F.when(hit & usable, F.col("_v")).when(hit, F.raise_error(F.lit("quantile bracket missed"))))
+        missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
+        return F.max(F.when(hit & F.col("_v").isNotNull(), F.col("_v")).when(hit, missed))
 
     found = cum.groupBy(*keys, "variable").agg(
         F.max("_t").alias("_t"),

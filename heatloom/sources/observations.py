@@ -76,20 +76,23 @@ def _records(files: DataFrame) -> DataFrame:
     )
 
 
-def _options(reader):
+def _options(reader, whole_files: bool):
     return (
-        reader.schema(FILE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
+        reader.schema(FILE_SCHEMA).option("multiLine", whole_files).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     )
 
 
-def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    return _records(_options(spark.read).json(path))
+def read_observations(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Records of landed files: one document per file, or with
+    ``whole_files=False`` one per line, which Spark can split."""
+    return _records(_options(spark.read, whole_files).json(path))
 
 
-def stream_observation_files(spark: SparkSession, path: str, max_files: int = 1000, archive: str | None = None) -> DataFrame:
+def stream_observation_files(spark: SparkSession, path: str, max_files: int = 1000, archive: str | None = None,
+                             whole_files: bool = True) -> DataFrame:
     """The same records as a stream; read files can be moved to ``archive``."""
-    reader = _options(spark.readStream).option("maxFilesPerTrigger", max_files)
+    reader = _options(spark.readStream, whole_files).option("maxFilesPerTrigger", max_files)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return _records(reader.json(path))

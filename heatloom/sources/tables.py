@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -13,13 +13,18 @@ from ..operators.dedup import dedup_keep_first
 from ..operators.tables import join_variables
 
 
+def month_sequence(first: Column, last: Column) -> Column:
+    """Array of year-months ``yyyymm`` between two dates, both ends included."""
+    months = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))
+    return F.transform(months, lambda d: (F.year(d) * 100 + F.month(d)).cast("int"))
+
+
 def month_range(spark: SparkSession, first: int, last: int) -> DataFrame:
     """Year-months ``yyyymm`` from first to last inclusive."""
-    def start(ym: int):
+    def start(ym: int) -> Column:
         return F.make_date(F.lit(ym // 100), F.lit(ym % 100), F.lit(1))
 
-    months = F.explode(F.sequence(start(first), start(last), F.expr("INTERVAL 1 MONTH"))).alias("d")
-    return spark.range(1).select(months).select((F.year("d") * 100 + F.month("d")).cast("int").alias("ym"))
+    return spark.range(1).select(F.explode(month_sequence(start(first), start(last))).alias("ym"))
 
 
 def missing_months(months: DataFrame, existing: DataFrame, ym: str = "ym") -> DataFrame:
@@ -64,12 +69,12 @@ def read_gridded(spark: SparkSession, path_by_var: Mapping[str, str], keys: Sequ
 
 
 def write_predictions(df: DataFrame, root: str, time: str = "time") -> None:
-    """One partition per month; only months in ``df`` are replaced. A month is
-    spread over tasks by station, so a large month is not one file."""
+    """One partition per month; only months in ``df`` are replaced. The
+    rebalance hint gathers a month's rows and splits a month that is too large
+    for one task, so files have an even size."""
     (
         df.withColumn("ym", year_month(F.col(time)))
-        .repartition("ym", "weatherStation")
-        .sortWithinPartitions("ym", time)
+        .hint("rebalance", F.col("ym"))
         .write.partitionBy("ym").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
     )
 

@@ -14,7 +14,7 @@ from ..sources.observations import ARRIVAL, KEYS, clean_observations, stream_obs
 
 
 def stream_observations(spark: SparkSession, path: str, table: str, checkpoint: str, max_files: int = 1000,
-                        archive: str | None = None) -> StreamingQuery:
+                        archive: str | None = None, whole_files: bool = True) -> StreamingQuery:
     """Cleans landed files and stores each micro-batch below ``table``.
 
     A batch owns the partition ``batch_id``: a replay after a failure replaces
@@ -29,7 +29,7 @@ def stream_observations(spark: SparkSession, path: str, table: str, checkpoint:
             .mode("overwrite").parquet(table)
         )
 
-    rows = clean_observations(stream_observation_files(spark, path, max_files, archive))
+    rows = clean_observations(stream_observation_files(spark, path, max_files, archive, whole_files))
     return (
         rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
