@@ -39,13 +39,14 @@ def _(s, d):
     return rounded(seen.join(heat.build_lookup(s), ["tdb", "rh"]), "heat_index")
 
 
-# Interpolated values are multiples of 1e-7, so eight digits hold them whole.
+# Interpolated values are multiples of 1e-7: eight digits hold them whole. Their
+# means can end in an exact half there; the offset moves both engines off it.
 def _r8(df, *cols):
-    return df.withColumns({c: F.round(c, 8) + 0.0 for c in cols})
+    return df.withColumns({c: F.round(F.col(c) + 1e-11, 8) for c in cols})
 
 
 def _sql_r8(*cols: str) -> str:
-    return ", ".join(f"round({c}, 8) + 0.0::double AS {c}" for c in cols)
+    return ", ".join(f"round({c} + 1e-11::double, 8) AS {c}" for c in cols)
 
 
 @query("k2_bilinear", f"WITH {v.HI} SELECT event_id, weatherStation, {_sql_r8('heatIndex')} FROM hi")
@@ -110,7 +111,7 @@ near AS (SELECT name, arg_min(weatherStation, (sqrt((slat - lat) ** 2 + (slon -
 
 @query("k6_location_daily", f"""WITH {v.HI}, {NEAR}, ls AS (SELECT hi.*, name AS locationName FROM hi JOIN near USING (weatherStation))
 SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS date, locationName,
- {', '.join(f"round({fn}(CASE WHEN {m} THEN heatIndex END), 8) + 0.0::double AS {side}_temp_{n}" for side, m in (('night', 'NOT hour(time) BETWEEN 9 AND 20'), ('day', 'hour(time) BETWEEN 9 AND 20')) for n, fn in (('min', 'min'), ('mean', 'avg'), ('max', 'max')))}
+ {', '.join(f"round({fn}(CASE WHEN {m} THEN heatIndex END) + 1e-11::double, 8) AS {side}_temp_{n}" for side, m in (('night', 'NOT hour(time) BETWEEN 9 AND 20'), ('day', 'hour(time) BETWEEN 9 AND 20')) for n, fn in (('min', 'min'), ('mean', 'avg'), ('max', 'max')))}
 FROM ls GROUP BY 1, 2""")
 def _(s, d):
     return _r8(_text_date(heat.location_daily(v.wx(s, d), v.locations(s, d), _lookup(s)), "date"), *STATS)

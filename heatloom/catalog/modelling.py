@@ -101,11 +101,22 @@ def _training(s, d):
 PARAMS = {"iterations": 5, "depth": 3, "learn_rate": 0.3}
 
 
-@query("m1_prepare_training")
+TRUTH = """truth AS (SELECT h.time, c.weatherStation, h.airTemperature + (c.elevation * 3 - c.ndvi_mean) AS a, h.relativeHumidity AS r, c.ndvi_mean, c.elevation FROM hourly h
+ JOIN (SELECT *, concat('41.', 31 + n % 4, '_2.', 11 + n % 4) AS near FROM (SELECT *, CAST(split_part(split_part(weatherStation, '_', 1), '.', 2) AS INTEGER) - 300 AS n FROM cellgrid)) c ON c.near = h.weatherStation),
+ys AS (SELECT weatherStation, quantile_cont(a, 0.05) AS a0, quantile_cont(a, 0.95) AS a1, quantile_cont(r, 0.05) AS r0, quantile_cont(r, 0.95) AS r1 FROM truth GROUP BY 1),
+xs AS (SELECT weatherStation, quantile_cont(airTemperature, 0.05) AS a0, quantile_cont(airTemperature, 0.95) AS a1, quantile_cont(relativeHumidity, 0.05) AS r0, quantile_cont(relativeHumidity, 0.95) AS r1 FROM hourly GROUP BY 1),
+nx AS (SELECT time, weatherStation, (airTemperature - a0) / (a1 - a0) AS airTemperature, (relativeHumidity - r0) / (r1 - r0) AS relativeHumidity FROM hourly JOIN xs USING (weatherStation))"""
+
+
+@query("m1_prepare_training", f"""WITH {HOURLY}, {CELLS}, {TRUTH}, wide AS (SELECT time, {FEATURES} FROM nx GROUP BY time)
+SELECT time, weatherStation, round((a - a0) / (a1 - a0), 6) + 0.0::double AS y_airTemperature, round((r - r0) / (r1 - r0), 6) + 0.0::double AS y_relativeHumidity, ndvi_mean,
+ {', '.join(f'coalesce(round({f}, 6), -99) + 0.0::double AS {f}' for f in FEATURE_NAMES)} FROM truth JOIN ys USING (weatherStation) JOIN wide USING (time)""")
 def _(s, d):
     hr, lr, static = _training(s, d)
     rows, _, _ = model.prepare_training(hr, lr, static, VARS, STATIONS, n_harmonics=2)
-    return rows.select("time", "weatherStation", "y_airTemperature", "y_relativeHumidity", *FEATURE_NAMES)
+    out = rounded(rows, "y_airTemperature", "y_relativeHumidity")
+    return out.select("time", "weatherStation", "y_airTemperature", "y_relativeHumidity", "ndvi_mean",
+                      *[(F.coalesce(F.round(c, 6), F.lit(-99.0)) + 0.0).alias(c) for c in FEATURE_NAMES])
 
 
 @query("m3_train")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import forecast_hours, fourier, issue_time
 from ..functions.keys import station_lat, station_lon
 from ..functions.weather import quantile_scale, quantile_unscale
+from ..session import materialise
 from .order import quantile_stats, shuffled_rank, time_rank
 from .tables import select_times
 
@@ -96,15 +97,18 @@ def feature_columns(static: DataFrame, variables: Sequence[str], stations: Seque
     ]
 
 
-def split_by_time(df: DataFrame, ratio: float = 0.1, seed: int = 42, time: str = "time") -> DataFrame:
-    """Adds ``is_test``: whole times are dealt, the first ceil(ratio * n) times
-    of a seeded order are the test set."""
-    times = df.select(time).distinct()
+def split_times(times: DataFrame, ratio: float = 0.1, seed: int = 42, time: str = "time") -> DataFrame:
+    """Distinct times with ``is_test``: the first ceil(ratio * n) times of a
+    seeded order are the test set."""
     n = times.agg(F.count("*").alias("n")).scalar()
-    ranked = shuffled_rank(times, time, seed, "_r").select(
+    return shuffled_rank(times, time, seed, "_r").select(
         time, (F.col("_r") <= F.ceil(n * F.lit(ratio))).alias("is_test")
     )
-    return df.join(ranked, time)
+
+
+def split_by_time(df: DataFrame, ratio: float = 0.1, seed: int = 42, time: str = "time") -> DataFrame:
+    """Adds ``is_test``; whole times are dealt, never single rows."""
+    return df.join(split_times(df.select(time).distinct(), ratio, seed, time), time)
 
 
 def chunk_times(df: DataFrame, n_hours: int, n_steps: int, seed: int = 42, time: str = "time") -> DataFrame:
@@ -130,8 +134,8 @@ def prepare_training(
     Statistics come from all hours and are computed once; ``hours`` then
     selects the times that become rows.
     """
-    lr_stats = quantile_stats(lr, variables)
-    hr_stats = quantile_stats(hr, targets)
+    lr_stats = materialise(quantile_stats(lr, variables), "lr-stats")
+    hr_stats = materialise(quantile_stats(hr, targets), "hr-stats")
     if hours is not None:
         hr, lr = select_times(hr, hours), select_times(lr, hours)
     y = normalise(hr.select("time", "weatherStation", *targets), hr_stats, targets)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialise
 from .neighbours import DAY, time_bucket
 
 HASH_HEX_DIGITS = 3  # 4,096 equally likely buckets
@@ -86,9 +86,7 @@ def quantile_stats(
             for v in variables
         ]
     )
-    path = scratch_path(df.sparkSession, "quantile-brackets")
-    sketch.write.parquet(path)
-    brackets = df.sparkSession.read.parquet(path)
+    brackets = materialise(sketch, "quantile-brackets")
     pairs = [
         F.struct(F.lit(v).alias("variable"), F.col(v).alias("value"), F.col(f"_q_{v}").alias("_q")) for v in variables
     ]

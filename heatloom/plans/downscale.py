@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.geo import to_utm
 from ..functions.keys import station_key
 from ..functions.weather import null_if, scale_vegetation
+from ..session import materialise
 from ..operators.model import (
     TARGETS, assemble_predictions, build_features, feature_columns, normalise, predict, prepare_training,
-    rmse, sample_times, split_by_time, train,
+    rmse, sample_times, split_times, train,
 )
 from ..operators.order import ecdf_rank, minmax_01
 from ..operators.spatial import (
@@ -86,14 +87,15 @@ def fit_downscaling(
     """(model, errors, low-resolution statistics, high-resolution statistics).
 
     Whole hours are dealt to train, test and validation; validation hours stop
-    the boosting and are not trained on.
+    the boosting and are not trained on. The rows are written once: boosting
+    passes over them many times and must not recompute them.
     """
     rows, lr_stats, hr_stats = prepare_training(hr, lr, static, variables, stations, targets, hours, n_harmonics)
-    split = split_by_time(rows, test_ratio, seed)
-    held = sample_times(split.where(~F.col("is_test")), validation_hours, seed + 1)
-    split = split.join(held.withColumn("_held", F.lit(True)), "time", "left").withColumn(
-        "is_validation", F.coalesce("_held", F.lit(False))
-    ).drop("_held")
+    rows = materialise(rows, "training-rows")
+    parts = split_times(rows.select("time").distinct(), test_ratio, seed)
+    held = sample_times(parts.where(~F.col("is_test")), validation_hours, seed + 1).withColumn("_held", F.lit(True))
+    parts = parts.join(held, "time", "left").select("time", "is_test", F.coalesce("_held", F.lit(False)).alias("is_validation"))
+    split = rows.join(materialise(parts, "training-times"), "time")
     columns = feature_columns(static, variables, stations, n_harmonics)
     model = train(split.where(~F.col("is_test")), columns, targets, params, "is_validation")
     scored = predict(model, split).where(F.col("is_test") | F.col("is_validation"))
