@@ -356,8 +356,8 @@ UX, UY = sql_utm("lat", "lon")
 
 @query("f14_to_utm", f"WITH {v.GRID} SELECT c_custkey, round({UX}, 3) AS x, round({UY}, 3) AS y FROM grid")
 def _(s, d):
-    xy = geo.to_utm(F.col("lat"), F.col("lon"))
-    return v.grid(s, d).select("c_custkey", F.round(xy["x"], 3).alias("x"), F.round(xy["y"], 3).alias("y"))
+    xy = geo.with_utm(v.grid(s, d), "lat", "lon")
+    return xy.select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 A, B = sql_utm("lat + 0.05::double", "lon"), sql_utm("lat", "lon + 0.05::double")

@@ -123,7 +123,7 @@ def _(s, d):
 def _(s, d):
     from ..operators.neighbours import with_neighbours
 
-    n = with_neighbours(v.wx(s, d), ["weatherStation"], "time", ["event_id"], **CUT)
+    n = with_neighbours(v.wx(s, d), ["weatherStation"], "time", **CUT)
     return n.select("event_id", F.coalesce("_prev.event_id", F.lit(-1)).alias("before"),
                     F.coalesce("_next.event_id", F.lit(-1)).alias("after"))
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The GRS80 ellipsoid and UTM scale, offset and zone 31 meridian.
@@ -26,28 +25,39 @@ _ALPHA = [
 _C = 2 * math.sqrt(_N) / (1 + _N)
 
 
-def to_utm(lat: Column, lon: Column, meridian: float = ZONE_31_MERIDIAN) -> Column:
-    """struct<x, y> in metres for coordinates in degrees."""
+def _conformal(lat: Column) -> Column:
     sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - F.lit(_C) * F.atanh(F.lit(_C) * sin_lat))
+    return F.sinh(F.atanh(sin_lat) - F.lit(_C) * F.atanh(F.lit(_C) * sin_lat))
+
+
+def _xi_eta(t: Column, lon: Column, meridian: float) -> tuple[Column, Column]:
     d_lon = F.radians(lon - F.lit(meridian))
-    xi = F.atan2(t, F.cos(d_lon))
-    eta = F.atanh(F.sin(d_lon) / F.sqrt(F.lit(1.0) + t * t))
-    terms = list(enumerate(_ALPHA, start=1))
-    east = reduce(
-        lambda acc, ja: acc + F.lit(ja[1]) * F.cos(xi * (2.0 * ja[0])) * F.sinh(eta * (2.0 * ja[0])),
-        terms,
-        eta,
-    )
-    north = reduce(
-        lambda acc, ja: acc + F.lit(ja[1]) * F.sin(xi * (2.0 * ja[0])) * F.cosh(eta * (2.0 * ja[0])),
-        terms,
-        xi,
-    )
-    return F.struct(
-        (F.lit(FALSE_EASTING) + F.lit(UTM_SCALE * _A) * east).alias("x"),
-        (F.lit(UTM_SCALE * _A) * north).alias("y"),
-    )
+    return F.atan2(t, F.cos(d_lon)), F.atanh(F.sin(d_lon) / F.sqrt(F.lit(1.0) + t * t))
+
+
+def _east_north(xi: Column, eta: Column) -> tuple[Column, Column]:
+    east, north = eta, xi
+    for j, alpha in enumerate(_ALPHA, start=1):
+        a, b = xi * F.lit(2.0 * j), eta * F.lit(2.0 * j)
+        east = east + F.lit(alpha) * F.cos(a) * F.sinh(b)
+        north = north + F.lit(alpha) * F.sin(a) * F.cosh(b)
+    return F.lit(FALSE_EASTING) + F.lit(UTM_SCALE * _A) * east, F.lit(UTM_SCALE * _A) * north
+
+
+def to_utm(lat: Column, lon: Column, meridian: float = ZONE_31_MERIDIAN) -> Column:
+    """struct<x, y> in metres for coordinates in degrees."""
+    x, y = _east_north(*_xi_eta(_conformal(lat), lon, meridian))
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def with_utm(df: DataFrame, lat: str, lon: str, x: str = "x", y: str = "y",
+             meridian: float = ZONE_31_MERIDIAN) -> DataFrame:
+    """Adds metric columns. Shared terms are their own projections, so they are
+    computed once per row."""
+    xi, eta = _xi_eta(F.col("_t"), F.col(lon), meridian)
+    east, north = _east_north(F.col("_xi"), F.col("_eta"))
+    staged = df.withColumn("_t", _conformal(F.col(lat))).withColumns({"_xi": xi, "_eta": eta})
+    return staged.withColumns({x: east, y: north}).drop("_t", "_xi", "_eta")
 
 
 def bbox_to_utm(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

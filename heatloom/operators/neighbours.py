@@ -5,6 +5,11 @@ into one task. Here a series is cut into time buckets: the rows are shuffled
 once by (series, bucket), and only the first and last row of each bucket
 travel further to bridge the cuts. Bridging is done twice, with a coarse
 bucket the second time, so the last window sees one row per coarse bucket.
+
+Rows and bucket ends both come from the same shuffle: rows travel as one
+struct and the bucket is never null, so both branches ask for equal input and
+Spark reuses the exchange instead of scanning twice. Select the columns you
+need before calling, as the struct is carried whole.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ DAY = 24 * HOUR
 WEEK = 7 * DAY
 # Buckets of the first level that share one bucket of the second level.
 BUCKETS_PER_COARSE = 1000
+# Bucket of rows without a time.
+NO_TIME = -(10**9)
 
 
 def time_bucket(time: Column, seconds: int) -> Column:
@@ -30,30 +37,31 @@ def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     time: str,
-    cols: Sequence[str],
     tie: Sequence[str] = (),
     bucket_seconds: int = WEEK,
 ) -> DataFrame:
     """Adds four columns to each row.
 
-    ``_prev`` / ``_next``: struct with ``o`` (struct of time and tie columns)
-    and the given columns of the row before / after in its series, null at the
-    ends. ``_start`` / ``_end``: the order struct of the first / last row.
+    ``_prev`` / ``_next``: the row before / after in its series as a struct of
+    all columns and ``o``, its order struct (time and tie); null at the ends.
+    ``_start`` / ``_end``: the order struct of the first / last row.
 
-    ``keys`` and ``time`` must not be null. Choose ``bucket_seconds`` so that a
-    bucket of the longest series fits a task; it does not change the result.
+    ``keys`` must not be null. Choose ``bucket_seconds`` so that a bucket of
+    the longest series fits a task; it does not change the result.
     """
     keys = list(keys)
-    order = [time, *tie]
-    payload = F.struct(F.struct(*order).alias("o"), *cols)
+    row = F.struct(F.struct(time, *tie).alias("o"), *df.columns)
+    bucket = F.coalesce(time_bucket(F.col(time), bucket_seconds), F.lit(NO_TIME))
+    base = df.select(*keys, bucket.alias("_b"), row.alias("_row")).repartition(*keys, "_b")
 
-    base = df.withColumn("_b", time_bucket(F.col(time), bucket_seconds)).repartition(*keys, "_b")
-    by_bucket = Window.partitionBy(*keys, "_b").orderBy(*order)
-    rows = base.withColumns({"_next": F.lead(payload).over(by_bucket), "_prev": F.lag(payload).over(by_bucket)})
+    by_bucket = Window.partitionBy(*keys, "_b").orderBy("_row.o")
+    rows = base.withColumns({"_next": F.lead("_row").over(by_bucket), "_prev": F.lag("_row").over(by_bucket)})
 
-    # Same shuffle as above (reused), one row per bucket afterwards.
-    edges = base.groupBy(*keys, "_b").agg(F.min(payload).alias("_first"), F.max(payload).alias("_last"))
-    edges = edges.withColumn("_c", F.floor(F.col("_b") / F.lit(BUCKETS_PER_COARSE)))
+    edges = base.groupBy(*keys, "_b").agg(
+        F.min_by("_row", "_row.o").alias("_first"), F.max_by("_row", "_row.o").alias("_last")
+    )
+    coarse_bucket = F.coalesce(F.floor(F.col("_b") / F.lit(BUCKETS_PER_COARSE)), F.lit(NO_TIME))
+    edges = edges.withColumn("_c", coarse_bucket)
     by_coarse = Window.partitionBy(*keys, "_c").orderBy("_b")
     fine = edges.select(
         *keys, "_b", "_c",
@@ -62,23 +70,25 @@ def with_neighbours(
     )
     by_series = Window.partitionBy(*keys).orderBy("_c")
     whole = Window.partitionBy(*keys)
-    coarse = edges.groupBy(*keys, "_c").agg(F.min("_first").alias("_cf"), F.max("_last").alias("_cl")).select(
+    coarse = edges.groupBy(*keys, "_c").agg(
+        F.min_by("_first", "_b").alias("_cf"), F.max_by("_last", "_b").alias("_cl")
+    ).select(
         *keys, "_c",
         F.lead("_cf").over(by_series).alias("_n1"),
         F.lag("_cl").over(by_series).alias("_p1"),
-        F.min("_cf").over(whole)["o"].alias("_start"),
-        F.max("_cl").over(whole)["o"].alias("_end"),
+        F.min("_cf.o").over(whole).alias("_start"),
+        F.max("_cl.o").over(whole).alias("_end"),
     )
     bridge = fine.join(coarse, [*keys, "_c"]).select(
         *keys, "_b", "_start", "_end",
         F.coalesce("_n0", "_n1").alias("_bn"),
         F.coalesce("_p0", "_p1").alias("_bp"),
     )
-    return (
-        rows.join(bridge, [*keys, "_b"])
-        .withColumn("_next", F.coalesce("_next", "_bn"))
-        .withColumn("_prev", F.coalesce("_prev", "_bp"))
-        .drop("_b", "_bn", "_bp")
+    return rows.join(bridge, [*keys, "_b"]).select(
+        *[F.col("_row")[c].alias(c) for c in df.columns],
+        F.coalesce("_next", "_bn").alias("_next"),
+        F.coalesce("_prev", "_bp").alias("_prev"),
+        "_start", "_end",
     )
 
 
@@ -88,7 +98,7 @@ def drop_neighbours(df: DataFrame) -> DataFrame:
 
 def mark_ends(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = (), **kw) -> DataFrame:
     """Adds ``is_first`` and ``is_last`` row flags per series."""
-    n = with_neighbours(df, keys, time, [], tie, **kw)
+    n = with_neighbours(df, keys, time, tie, **kw)
     return drop_neighbours(
         n.withColumns({"is_first": F.col("_prev").isNull(), "is_last": F.col("_next").isNull()})
     )

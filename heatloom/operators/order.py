@@ -136,6 +136,7 @@ def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: in
     ids, cols = list(ids), list(cols)
     long = _unpivot(df, ids, cols)
     counts = long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count("*").alias("_n"))
+    counts = materialise(counts, "value-counts")
     cuts = counts.groupBy("variable").agg(
         F.percentile_approx("value", [i / splits for i in range(1, splits)], 1000).alias("_cuts"),
         F.count("*").alias("_distinct"),

@@ -44,7 +44,7 @@ def interval_mean(
 
     Directions named in ``circular`` are averaged as vectors.
     """
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, variables, tie, bucket_seconds)
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, tie, bucket_seconds)
     return drop_neighbours(n.withColumns({v: interval_mean_expr(v, v in circular) for v in variables}))
 
 
@@ -72,13 +72,13 @@ def rain_expr(v: str, fix_last_unit: bool = False) -> Column:
 
 def deaccumulate_radiation(df, col="GHI", keys=("weatherStation",), time="time", tie=(), batch_col=None,
                            bucket_seconds=WEEK) -> DataFrame:
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, [col], tie, bucket_seconds)
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, tie, bucket_seconds)
     return drop_neighbours(n.withColumn(col, radiation_expr(col)))
 
 
 def deaccumulate_rain(df, col="totalPrecipitation", keys=("weatherStation",), time="time", tie=(),
                       batch_col=None, fix_last_unit=False, bucket_seconds=WEEK) -> DataFrame:
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, [col], tie, bucket_seconds)
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, tie, bucket_seconds)
     return drop_neighbours(n.withColumn(col, rain_expr(col, fix_last_unit)))
 
 
@@ -95,8 +95,7 @@ def harmonise_series(
     bucket_seconds: int = WEEK,
 ) -> DataFrame:
     """Interval means and both de-accumulations after a single shuffle."""
-    cols = [*mean_of, *([radiation] if radiation else []), *([rain] if rain else [])]
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, cols, (), bucket_seconds)
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, (), bucket_seconds)
     new = {v: interval_mean_expr(v, v in circular) for v in mean_of}
     if radiation:
         new[radiation] = radiation_expr(radiation)

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import to_utm
+from ..functions.geo import with_utm
 from ..functions.keys import station_key
 from ..functions.weather import null_if, scale_vegetation
 from ..session import materialise
@@ -45,10 +45,8 @@ CELL_METRES = 100.0
 
 def grid_cells(centres: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Cell key and metric centre of each grid point."""
-    xy = to_utm(F.col(lat), F.col(lon))
-    return centres.select(station_key(F.col(lat), F.col(lon)).alias("weatherStation"), xy.alias("_xy")).select(
-        "weatherStation", "_xy.x", "_xy.y"
-    )
+    keyed = centres.select(station_key(F.col(lat), F.col(lon)).alias("weatherStation"), lat, lon)
+    return with_utm(keyed, lat, lon).select("weatherStation", "x", "y")
 
 
 def static_features(
@@ -60,8 +58,10 @@ def static_features(
     """All static features of ``cells(weatherStation, x, y)``, scaled to [0, 1].
 
     ``buildings(bx, by, attributes…)`` and the rasters are metric; raw
-    vegetation values are 0..200.
+    vegetation values are 0..200. Cell tables are used several times each, so
+    they are written out in between.
     """
+    cells = materialise(cells.select("weatherStation", "x", "y"), "cells")
     half = size / 2 if shape == "square" else size
     key = "weatherStation"
     high = sample_raster(cells, elevation, elevation_affine).select(key, "elevation")
@@ -69,13 +69,14 @@ def static_features(
 
     inside = points_in_cells(buildings, cells, half, "bx", "by", shape=shape)
     attributes = left_fill_zero(cells.select(key), cell_attributes(inside, key, sums, means), key)
+    attributes = materialise(attributes, "cell-attributes")
     ranked = ecdf_rank(attributes, [*sums, *means], [key])
 
     green = crop_pixels(vegetation, vegetation_affine, vegetation_bbox)
     green = green.withColumn("value", null_if(scale_vegetation(F.col("value")), 0))
     zones = zonal_stats(cells, green, half, key).drop("x", "y")
 
-    wide = high.join(ranked, key).join(zones, key)
+    wide = materialise(high.join(ranked, key).join(zones, key), "cell-features")
     return minmax_01(wide, [c for c in wide.columns if c != key])
 
 

@@ -98,15 +98,20 @@ def test_neighbours_equal_plain_window(spark, points, width):
     plain = df.select("weatherStation", "time", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n"),
                       F.min("time").over(Window.partitionBy("weatherStation")).alias("a"),
                       F.max("time").over(Window.partitionBy("weatherStation")).alias("z"))
-    got = with_neighbours(df, ["weatherStation"], "time", ["v"], bucket_seconds=width).select(
+    got = with_neighbours(df, ["weatherStation"], "time", bucket_seconds=width).select(
         "weatherStation", "time", F.col("_prev.v").alias("p"), F.col("_next.v").alias("n"),
         F.col("_start.time").alias("a"), F.col("_end.time").alias("z"))
     assert rows(got) == rows(plain)
 
 
-def test_one_station_spread_over_buckets(spark):
-    """No window of the rows is partitioned by the station alone."""
-    df = spark.range(10).selectExpr("'A' AS weatherStation", "timestamp_micros(id * 3600000000) AS time", "1D AS v")
-    plan = with_neighbours(df, ["weatherStation"], "time", ["v"])._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line and "lead(named_struct" in line]
-    assert windows and all("_b#" in line.split("],")[1] for line in windows)
+def test_rows_are_shuffled_once_by_station_and_bucket(spark, data):
+    """Row windows are cut by bucket and both branches share one exchange."""
+    df = spark.read.parquet(f"{data}/events.parquet").selectExpr(
+        "concat('s', user_id % 3) AS weatherStation", "ts AS time", "value AS v", "event_id"
+    )
+    out = series.interval_mean(df, ["v"], bucket_seconds=HOUR)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    row_windows = [line for line in plan.splitlines() if "Window [lead(_row" in line]
+    assert row_windows and all("_b#" in line.split("windowspecdefinition(")[1].split("ASC")[0] for line in row_windows)
