@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import model, order, series, tables
+from ..operators import model, order
 from ..operators.neighbours import HOUR
 from ..plans import downscale, harmonise
 from . import views as v
@@ -52,8 +52,7 @@ SELECT time, weatherStation, ndvi_mean, round(elevation, 6) AS elevation, {', '.
  round(sin(2 * pi() * hour(time) / 24), 6) + 0.0::double AS hour_1_sin, CAST(split_part(weatherStation, '_', 1) AS DOUBLE) AS latitude FROM wide, cellgrid""")
 def _(s, d):
     lr, static = _hourly(s, d), _cells(s, d)
-    targets = tables.paired_product(lr.select("time").distinct(), static.select("weatherStation"), 8)
-    f = model.build_features(targets, lr, static, VARS, STATIONS, 1)
+    f = model.grid_features(lr, static, VARS, STATIONS, 1, shards=8)
     out = f.select(
         "time", "weatherStation", "ndvi_mean", r6("elevation").alias("elevation"),
         *[F.coalesce(F.round(c, 6), F.lit(-99.0)).alias(c) for c in FEATURE_NAMES], r6("hour_1_sin").alias("hour_1_sin"), "latitude",

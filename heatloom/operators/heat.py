@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.clock import is_day, is_night, year_month
 from ..functions.keys import station_lat, station_lon
 from ..functions.weather import to_percent
+from ..session import materialise
 from .series import rolling_min
 from .spatial import nearest
-from .tables import broadcast_if_small, isin_keys, label_keys
+from .tables import BROADCAST_ROWS, isin_keys, label_keys
 
 # Axes of the lookup surface (degrees Celsius, percent).
 TDB_RANGE = (-20, 60)
@@ -89,7 +90,10 @@ def bilinear(
     """Bilinear value of a unit-step surface; outside it the edge cell is
     extended linearly. Rows with a null or NaN coordinate get null."""
     nx, ny = x_range[1] - x_range[0] + 1, y_range[1] - y_range[0] + 1
-    cells = broadcast_if_small(_lookup_cells(lookup, nx, ny, x_range[0], y_range[0], z))
+    # One row per unit cell of the surface: the axes bound the size.
+    cells = _lookup_cells(lookup, nx, ny, x_range[0], y_range[0], z)
+    if (nx - 1) * (ny - 1) <= BROADCAST_ROWS:
+        cells = F.broadcast(cells)
 
     def cell(v: Column, n: int) -> Column:
         return F.greatest(F.lit(0), F.least(F.lit(n - 2), F.floor(v))).cast("int")
@@ -182,10 +186,14 @@ def station_table(df: DataFrame, key: str = "weatherStation") -> DataFrame:
 
 
 def location_series(df: DataFrame, locations: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Hourly heat index at the station nearest to each location."""
-    near = nearest(locations, station_table(df))
-    labels = near.select("weatherStation", F.col("name").alias("label"))
-    return with_heat_index(label_keys(isin_keys(df, "weatherStation", labels), "weatherStation", labels), lookup)
+    """Hourly heat index at the station nearest to each location.
+
+    The pairs are written out; their true size lets Spark broadcast them and
+    drop all other stations without a shuffle.
+    """
+    near = materialise(nearest(locations, station_table(df)).drop("dist"), "nearest")
+    labels = near.withColumnRenamed("name", "label")
+    return with_heat_index(label_keys(isin_keys(df, "weatherStation", labels.select("weatherStation")), "weatherStation", labels), lookup)
 
 
 def location_daily(df: DataFrame, locations: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions.keys import station_lat, station_lon
 from ..functions.weather import quantile_scale, quantile_unscale
 from ..session import materialise
 from .order import quantile_stats, shuffled_rank, time_rank
-from .tables import select_times
+from .tables import paired_product, select_times
 
 # Variables in model order, for forecast and history input.
 FORECAST_ORDER = [
@@ -74,16 +74,27 @@ def wide_by_time(lr: DataFrame, variables: Sequence[str], stations: Sequence[str
     )
 
 
+def _with_place_and_time(df: DataFrame, n_harmonics: int, time: str, key: str) -> DataFrame:
+    placed = df.withColumns({"latitude": station_lat(F.col(key)), "longitude": station_lon(F.col(key))})
+    return fourier(placed, time, n_harmonics)
+
+
 def build_features(targets: DataFrame, lr: DataFrame, static: DataFrame, variables: Sequence[str],
                    stations: Sequence[str], n_harmonics: int = 4, time: str = "time",
                    key: str = "weatherStation") -> DataFrame:
     """Features of each target row ``(time, station, …)``: low-resolution
     weather of its hour, static features of its cell, coordinates and time
     harmonics. Two equi-joins; the input stays one row per target."""
-    wide = wide_by_time(lr, variables, stations, time, key)
-    out = targets.join(wide, time).join(static, key)
-    out = out.withColumns({"latitude": station_lat(F.col(key)), "longitude": station_lon(F.col(key))})
-    return fourier(out, time, n_harmonics)
+    joined = targets.join(wide_by_time(lr, variables, stations, time, key), time).join(static, key)
+    return _with_place_and_time(joined, n_harmonics, time, key)
+
+
+def grid_features(lr: DataFrame, static: DataFrame, variables: Sequence[str], stations: Sequence[str],
+                  n_harmonics: int = 4, time: str = "time", key: str = "weatherStation", shards: int = 64) -> DataFrame:
+    """The same features for every hour on every cell. The wide rows are
+    spread before they meet the cells, so the large result is never shuffled."""
+    joined = paired_product(wide_by_time(lr, variables, stations, time, key), static, shards)
+    return _with_place_and_time(joined, n_harmonics, time, key)
 
 
 def feature_columns(static: DataFrame, variables: Sequence[str], stations: Sequence[str], n_harmonics: int = 4,
@@ -173,18 +184,16 @@ def assemble_predictions(pred: DataFrame, stats: DataFrame, targets: Sequence[st
 def forecast_runs(df: DataFrame, today: str, nd: int = 3, time: str = "time") -> DataFrame:
     """Rows of each run issued today and on the ``nd`` days before, stacked,
     with ``forecastingTime``; a run spans its 96 hours."""
-    spark = df.sparkSession
-    day = F.lit(today).cast("timestamp_ntz")
-    issues = spark.range(nd + 1).select(
-        F.explode(F.sequence(F.date_trunc("day", day) - F.expr(f"INTERVAL {nd} DAY"), F.date_trunc("day", day),
-                             F.expr("INTERVAL 1 DAY"))).alias("issue")
-    ).distinct()
-    hours = issues.select(issue_time(F.col("issue")).alias("forecastingTime"),
-                          F.explode(forecast_hours(F.col("issue"))).alias("_hour"))
+    day = F.date_trunc("day", F.lit(today).cast("timestamp_ntz"))
+    issues = F.sequence(day - F.expr(f"INTERVAL {nd} DAY"), day, F.expr("INTERVAL 1 DAY"))
+    hours = (
+        df.sparkSession.range(1).select(F.explode(issues).alias("issue"))
+        .select(issue_time(F.col("issue")).cast("timestamp_ntz").alias("forecastingTime"),
+                F.explode(forecast_hours(F.col("issue"))).alias("_hour"))
+        .withColumn("_hour", F.col("_hour").cast("timestamp_ntz"))
+    )
     hour = F.date_trunc("hour", F.col(time)).cast("timestamp_ntz")
-    return df.withColumn("_hour", hour).join(
-        hours.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("_hour", "forecastingTime")}), "_hour"
-    ).drop("_hour")
+    return df.withColumn("_hour", hour).join(hours, "_hour").drop("_hour")
 
 
 def rmse(df: DataFrame, pairs: Mapping[str, str]) -> DataFrame:

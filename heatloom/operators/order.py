@@ -157,6 +157,7 @@ def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: in
         .otherwise((F.col("_c") + F.col("_off")) / F.nullif(n - 1, F.lit(0)))
         .alias("_rank"),
     )
+    ranks = materialise(ranks, "value-ranks")
     wide = (
         long.join(ranks, ["variable", "value"], "left")
         .groupBy(*ids)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import euclid, to_utm
+from ..session import materialise
 from .tables import broadcast_if_small
 
 
@@ -29,10 +30,10 @@ def _bucket_points(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     )
 
 
-def _bucket_join(points: DataFrame, boxes: DataFrame, salts: int) -> DataFrame:
+def _bucket_join(points: DataFrame, boxes: DataFrame, salts: int, weight: Column | None = None) -> DataFrame:
     """Points meet boxes of their bucket. Beyond the broadcast bound, points of
     a crowded bucket are spread over ``salts`` copies of its boxes."""
-    hinted = broadcast_if_small(boxes)
+    hinted = broadcast_if_small(boxes, weight)
     if hinted is not boxes:
         return points.join(hinted, ["_bx", "_by"]).drop("_bx", "_by")
     salted = points.withColumn("_s", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
@@ -195,17 +196,18 @@ def _match_polygons(points: DataFrame, x: str, y: str, polys: DataFrame, reach:
     y0, y1 = F.array_min("ys") - r, F.array_max("ys") + r
     boxes = _bucket_boxes(rings, x0, x1, y0, y1, bucket).drop("xs", "ys")
     spots = _bucket_points(points.select(x, y).distinct(), x, y, bucket)
-    return _bucket_join(spots, boxes, salts=4)
+    return _bucket_join(spots, boxes, salts=4, weight=F.size("_edges"))
 
 
 def within_polygon(df: DataFrame, x: str, y: str, polys: DataFrame, bucket: float = 0.1) -> DataFrame:
     """Rows strictly inside any ring; points on a border are out.
 
-    The test runs once per distinct coordinate.
+    The test runs once per distinct coordinate. The matching coordinates are
+    written out, so a short list is broadcast and the rows are not shuffled.
     """
     px, py = F.col(x), F.col(y)
     hits = _match_polygons(df, x, y, polys, 0.0, bucket).where(_ray_cast(px, py) & ~_on_edge(px, py))
-    return df.join(hits.select(x, y).distinct(), [x, y], "left_semi")
+    return df.join(materialise(hits.select(x, y).distinct(), "inside"), [x, y], "left_semi")
 
 
 def within_distance_of_polygon(
@@ -218,7 +220,7 @@ def within_distance_of_polygon(
     near = _match_polygons(df, x, y, polys, distance, bucket).where(
         _ray_cast(px, py) | (_edge_distance(px, py) <= F.lit(float(distance)))
     )
-    kept = df.join(near.select(x, y).distinct(), [x, y], "left_semi")
+    kept = df.join(materialise(near.select(x, y).distinct(), "near"), [x, y], "left_semi")
     return kept if region is None else within_polygon(kept, x, y, region, bucket)
 
 
@@ -253,9 +255,8 @@ def nearest(locations: DataFrame, stations: DataFrame, name: str = "name") -> Da
     bound from one station per bucket, then only stations in the 3 x 3 buckets
     at least that wide are compared. The result is exact.
     """
-    st = stations.select(
-        "weatherStation", F.col("lat").alias("_sa"), F.col("lon").alias("_sb")
-    ).distinct()
+    st = stations.select("weatherStation", F.col("lat").alias("_sa"), F.col("lon").alias("_sb")).distinct()
+    st = materialise(st, "stations")
     tower = _pyramid(st, "_sa", "_sb")
     keys = ["_l", "_ca", "_cb"]
     samples = tower.groupBy(*keys).agg(F.min(F.struct("_sa", "_sb")).alias("_s"))

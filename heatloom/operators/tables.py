@@ -8,16 +8,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
+# About 10 MB of narrow rows, Spark's own default bound for a broadcast.
+BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: beyond ``max_rows`` the table is
-    returned as it is and Spark shuffles (AQE splits skewed partitions).
+def broadcast_if_small(df: DataFrame, weight: Column | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after checking the size: beyond ``max_rows`` the
+    table is returned as it is and the caller joins by shuffle.
 
-    Meant for small parameter tables; the count stops at the limit.
+    ``weight`` is the size of a row in narrow rows, for rows that hold arrays.
+    Meant for small parameter tables; the check stops at the limit.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    head = df.select((F.lit(1) if weight is None else weight).alias("w")).limit(max_rows + 1)
+    size = head.agg(F.sum("w").alias("s")).first()["s"] or 0
+    return F.broadcast(df) if size <= max_rows else df
 
 
 def rename_present(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

@@ -13,14 +13,13 @@ from ..functions.keys import station_key
 from ..functions.weather import null_if, scale_vegetation
 from ..session import materialise
 from ..operators.model import (
-    TARGETS, assemble_predictions, build_features, feature_columns, normalise, predict, prepare_training,
+    TARGETS, assemble_predictions, feature_columns, grid_features, normalise, predict, prepare_training,
     rmse, sample_times, split_times, train,
 )
 from ..operators.order import ecdf_rank, minmax_01
 from ..operators.spatial import (
     cell_attributes, crop_pixels, left_fill_zero, points_in_cells, sample_raster, zonal_stats,
 )
-from ..operators.tables import paired_product
 
 # Building attributes summed per cell, and the one averaged.
 BUILDING_SUMS = [
@@ -111,10 +110,9 @@ def fit_downscaling(
 def predict_grid(
     model: PipelineModel, lr: DataFrame, static: DataFrame, lr_stats: DataFrame, hr_stats: DataFrame,
     variables: Sequence[str], stations: Sequence[str], n_harmonics: int = 4,
-    targets: Sequence[str] = tuple(TARGETS), time_cols: Sequence[str] = ("time",), shards: int = 64,
+    targets: Sequence[str] = tuple(TARGETS), shards: int = 64,
 ) -> DataFrame:
     """Predictions for every hour of ``lr`` on every cell of ``static``."""
     x = normalise(lr, lr_stats, variables)
-    grid = paired_product(x.select(*time_cols).distinct(), static.select("weatherStation"), shards)
-    features = build_features(grid, x, static, variables, stations, n_harmonics)
-    return assemble_predictions(predict(model, features), hr_stats, targets, [*time_cols, "weatherStation"])
+    features = grid_features(x, static, variables, stations, n_harmonics, shards=shards)
+    return assemble_predictions(predict(model, features), hr_stats, targets)

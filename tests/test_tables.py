@@ -211,9 +211,9 @@ def test_distance_rounds_corners(spark):
 
 
 @pytest.mark.parametrize("shape", ["square", "circle"])
-@pytest.mark.parametrize("bound", [0, 50_000])
+@pytest.mark.parametrize("bound", [0, 200_000])
 def test_points_in_cells_equal_all_pairs(spark, monkeypatch, shape, bound):
-    monkeypatch.setattr(spatial, "broadcast_if_small", lambda df: tables.broadcast_if_small(df, bound))
+    monkeypatch.setattr(spatial, "broadcast_if_small", lambda df, w: tables.broadcast_if_small(df, w, bound))
     pts = spark.range(600).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 12D ELSE (id * 37 % 101) / 2D END AS px", "(id * 53 % 97) / 2D AS py")
     cells = spark.range(60).selectExpr("id AS cell", "(id * 17 % 50) * 1D AS x", "(id * 29 % 47) * 1D AS y")
     got = rows(spatial.points_in_cells(pts, cells, 4.0, shape=shape), "id", "cell")
