@@ -123,9 +123,9 @@ def _(s, d):
 def _(s, d):
     from ..operators.neighbours import with_neighbours
 
-    n = with_neighbours(v.wx(s, d), ["weatherStation"], "time", **CUT)
-    return n.select("event_id", F.coalesce("_prev.event_id", F.lit(-1)).alias("before"),
-                    F.coalesce("_next.event_id", F.lit(-1)).alias("after"))
+    n = with_neighbours(v.wx(s, d), ["weatherStation"], "time", ["event_id"], **CUT)
+    return n.select("event_id", F.coalesce("_prev_event_id", F.lit(-1)).alias("before"),
+                    F.coalesce("_next_event_id", F.lit(-1)).alias("after"))
 
 
 @query("o2_sorted_daily", f"""WITH {v.WX} SELECT weatherStation, CAST(CAST(time AS DATE) AS VARCHAR) AS date, round(max(airTemperature), 6) + 0.0::double AS top

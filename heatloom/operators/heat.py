@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import is_day, is_night, year_month
+from ..functions.clock import is_day, year_month
 from ..functions.keys import station_lat, station_lon
 from ..functions.weather import to_percent
 from ..session import materialise
@@ -126,16 +126,17 @@ def daily_stats(df: DataFrame, value: str = "heatIndex", keys: Sequence[str] = (
                 time: str = "time") -> DataFrame:
     """Night and day min, mean and max per date and key in one aggregate; a
     side without hours is null."""
-    t = F.col(time)
-    aggs = []
-    for side, mask in (("night", is_night(t)), ("day", is_day(t))):
-        v = F.when(mask, F.col(value))
-        aggs += [
-            F.min(v).alias(f"{side}_temp_min"),
-            F.avg(v).alias(f"{side}_temp_mean"),
-            F.max(v).alias(f"{side}_temp_max"),
-        ]
-    return df.groupBy(F.to_date(t).alias("date"), *keys).agg(*aggs)
+    t, v = F.col(time), F.col(value)
+    # One projection per side, so that value and hour are computed once.
+    sides = df.select(*keys, F.to_date(t).alias("date"), F.when(is_day(t), F.lit(1)).alias("_day"), v.alias("_v"))
+    sides = sides.select(
+        *keys, "date", F.when(F.col("_day").isNull(), F.col("_v")).alias("_night_v"), F.when(F.col("_day") == 1, F.col("_v")).alias("_day_v")
+    )
+    aggs = [
+        fn(f"_{side}_v").alias(f"{side}_temp_{name}")
+        for side in ("night", "day") for name, fn in (("min", F.min), ("mean", F.avg), ("max", F.max))
+    ]
+    return sides.groupBy("date", *keys).agg(*aggs)
 
 
 def heat_flag_columns(rolling: str) -> dict[str, Column]:

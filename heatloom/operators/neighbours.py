@@ -1,4 +1,4 @@
-"""Previous and next row of every series, safe for very long series.
+"""Values of the previous and next row of every series, for very long series.
 
 A plain ``lag``/``lead`` over ``partitionBy(station)`` puts a whole station
 into one task. Here a series is cut into time buckets: the rows are shuffled
@@ -6,10 +6,9 @@ once by (series, bucket), and only the first and last row of each bucket
 travel further to bridge the cuts. Bridging is done twice, with a coarse
 bucket the second time, so the last window sees one row per coarse bucket.
 
-Rows and bucket ends both come from the same shuffle: rows travel as one
-struct and the bucket is never null, so both branches ask for equal input and
-Spark reuses the exchange instead of scanning twice. Select the columns you
-need before calling, as the struct is carried whole.
+The bucket ends are a partial aggregate of the needed columns, taken before
+any shuffle. It reads the input a second time, so write out an input that is
+itself the result of large joins.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ DAY = 24 * HOUR
 WEEK = 7 * DAY
 # Buckets of the first level that share one bucket of the second level.
 BUCKETS_PER_COARSE = 1000
-# Bucket of rows without a time.
-NO_TIME = -(10**9)
 
 
 def time_bucket(time: Column, seconds: int) -> Column:
@@ -37,68 +34,71 @@ def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     time: str,
+    cols: Sequence[str] = (),
     tie: Sequence[str] = (),
     bucket_seconds: int = WEEK,
 ) -> DataFrame:
-    """Adds four columns to each row.
+    """Adds ``_prev_<c>`` and ``_next_<c>`` for the time, the tie columns and
+    ``cols``: the values of the row before / after in its series, null at the
+    ends. ``_first_<c>`` holds time and tie columns of the first row.
 
-    ``_prev`` / ``_next``: the row before / after in its series as a struct of
-    all columns and ``o``, its order struct (time and tie); null at the ends.
-    ``_start`` / ``_end``: the order struct of the first / last row.
-
-    ``keys`` must not be null. Choose ``bucket_seconds`` so that a bucket of
-    the longest series fits a task; it does not change the result.
+    ``keys`` and ``time`` must not be null. Choose ``bucket_seconds`` so that a
+    bucket of the longest series fits a task; it does not change the result.
     """
-    keys = list(keys)
-    row = F.struct(F.struct(time, *tie).alias("o"), *df.columns)
-    bucket = F.coalesce(time_bucket(F.col(time), bucket_seconds), F.lit(NO_TIME))
-    base = df.select(*keys, bucket.alias("_b"), row.alias("_row")).repartition(*keys, "_b")
-
-    by_bucket = Window.partitionBy(*keys, "_b").orderBy("_row.o")
-    rows = base.withColumns({"_next": F.lead("_row").over(by_bucket), "_prev": F.lag("_row").over(by_bucket)})
-
-    edges = base.groupBy(*keys, "_b").agg(
-        F.min_by("_row", "_row.o").alias("_first"), F.max_by("_row", "_row.o").alias("_last")
+    keys, order = list(keys), [time, *tie]
+    carried = [*order, *[c for c in cols if c not in order]]
+    base = df.withColumn("_b", time_bucket(F.col(time), bucket_seconds))
+
+    by_bucket = Window.partitionBy(*keys, "_b").orderBy(*order)
+    inside = {f"_next_{c}": F.lead(c).over(by_bucket) for c in carried}
+    inside |= {f"_prev_{c}": F.lag(c).over(by_bucket) for c in carried}
+    rows = base.withColumns(inside)
+
+    # With a single order column every buffer is a plain value and the ends
+    # are found by hash aggregation.
+    by = F.col(time) if not tie else F.struct(*order)
+    ends = base.groupBy(*keys, "_b").agg(
+        *[F.min_by(c, by).alias(f"f_{c}") for c in carried], *[F.max_by(c, by).alias(f"l_{c}") for c in carried]
+    )
+    ends = ends.select(
+        *keys, "_b", F.floor(F.col("_b") / F.lit(BUCKETS_PER_COARSE)).alias("_c"),
+        F.struct(*[F.col(f"f_{c}").alias(c) for c in carried]).alias("_f"),
+        F.struct(*[F.col(f"l_{c}").alias(c) for c in carried]).alias("_l"),
     )
-    coarse_bucket = F.coalesce(F.floor(F.col("_b") / F.lit(BUCKETS_PER_COARSE)), F.lit(NO_TIME))
-    edges = edges.withColumn("_c", coarse_bucket)
     by_coarse = Window.partitionBy(*keys, "_c").orderBy("_b")
-    fine = edges.select(
-        *keys, "_b", "_c",
-        F.lead("_first").over(by_coarse).alias("_n0"),
-        F.lag("_last").over(by_coarse).alias("_p0"),
+    fine = ends.select(
+        *keys, "_b", "_c", F.lead("_f").over(by_coarse).alias("_n0"), F.lag("_l").over(by_coarse).alias("_p0")
     )
     by_series = Window.partitionBy(*keys).orderBy("_c")
-    whole = Window.partitionBy(*keys)
-    coarse = edges.groupBy(*keys, "_c").agg(
-        F.min_by("_first", "_b").alias("_cf"), F.max_by("_last", "_b").alias("_cl")
+    coarse = ends.groupBy(*keys, "_c").agg(
+        F.min_by("_f", "_b").alias("_f"), F.max_by("_l", "_b").alias("_l")
     ).select(
-        *keys, "_c",
-        F.lead("_cf").over(by_series).alias("_n1"),
-        F.lag("_cl").over(by_series).alias("_p1"),
-        F.min("_cf.o").over(whole).alias("_start"),
-        F.max("_cl.o").over(whole).alias("_end"),
+        *keys, "_c", F.lead("_f").over(by_series).alias("_n1"), F.lag("_l").over(by_series).alias("_p1"),
+        F.first("_f").over(by_series).alias("_first"),
     )
     bridge = fine.join(coarse, [*keys, "_c"]).select(
-        *keys, "_b", "_start", "_end",
-        F.coalesce("_n0", "_n1").alias("_bn"),
-        F.coalesce("_p0", "_p1").alias("_bp"),
+        *keys, "_b", "_first", F.coalesce("_n0", "_n1").alias("_bn"), F.coalesce("_p0", "_p1").alias("_bp")
     )
-    return rows.join(bridge, [*keys, "_b"]).select(
-        *[F.col("_row")[c].alias(c) for c in df.columns],
-        F.coalesce("_next", "_bn").alias("_next"),
-        F.coalesce("_prev", "_bp").alias("_prev"),
-        "_start", "_end",
+    joined = rows.join(bridge, [*keys, "_b"])
+
+    def bridged(side: str, edge: str, c: str) -> Column:
+        own = F.col(f"_{side}_{c}")
+        return F.when(F.col(f"_{side}_{time}").isNotNull(), own).otherwise(F.col(edge)[c]).alias(f"_{side}_{c}")
+
+    return joined.select(
+        *df.columns,
+        *[bridged("next", "_bn", c) for c in carried],
+        *[bridged("prev", "_bp", c) for c in carried],
+        *[F.col("_first")[c].alias(f"_first_{c}") for c in order],
     )
 
 
 def drop_neighbours(df: DataFrame) -> DataFrame:
-    return df.drop("_prev", "_next", "_start", "_end")
+    return df.drop(*[c for c in df.columns if c.startswith(("_next_", "_prev_", "_first_"))])
 
 
 def mark_ends(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = (), **kw) -> DataFrame:
     """Adds ``is_first`` and ``is_last`` row flags per series."""
-    n = with_neighbours(df, keys, time, tie, **kw)
-    return drop_neighbours(
-        n.withColumns({"is_first": F.col("_prev").isNull(), "is_last": F.col("_next").isNull()})
-    )
+    n = with_neighbours(df, keys, time, [], tie, **kw)
+    flags = {"is_first": F.col(f"_prev_{time}").isNull(), "is_last": F.col(f"_next_{time}").isNull()}
+    return drop_neighbours(n.withColumns(flags))

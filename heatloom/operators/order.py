@@ -55,6 +55,11 @@ def _unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFram
     )
 
 
+# Groups up to this many rows use the built-in exact percentile, which keeps
+# the distinct values of a group in memory.
+SMALL_GROUP = 100_000
+
+
 def quantile_stats(
     df: DataFrame,
     variables: Sequence[str],
@@ -62,23 +67,48 @@ def quantile_stats(
     hi: float = 0.95,
     keys: Sequence[str] = ("weatherStation",),
     accuracy: int = 10000,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key and variable, long form
-    ``(keys…, variable, q05, q95)``.
+    ``(keys…, variable, q05, q95)``. Null and NaN are skipped.
 
-    Nothing holds all values of a key. A mergeable sketch brackets each
-    quantile; a second pass counts exactly what lies below, inside and above
-    the brackets, keeping only inside values apart; the wanted ranks are then
-    found among those. Null and NaN are skipped.
+    Group sizes are counted first and written out. Only groups larger than
+    ``small_group`` take the slower way that never holds a group's values.
     """
     keys = list(keys)
+    clean = df.select(*keys, *[F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in variables])
+    sizes = materialise(clean.groupBy(*keys).agg(F.count("*").alias("_rows")), "group-sizes")
+    large = sizes.where(F.col("_rows") > small_group).select(*keys)
+    if not large.limit(1).count():
+        return _small_quantiles(clean, variables, lo, hi, keys)
+    small = sizes.where(F.col("_rows") <= small_group).select(*keys)
+    parts = [
+        _small_quantiles(clean.join(small, keys, "left_semi"), variables, lo, hi, keys),
+        _large_quantiles(clean.join(large, keys, "left_semi"), variables, lo, hi, keys, accuracy),
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _small_quantiles(clean: DataFrame, variables: Sequence[str], lo: float, hi: float, keys: list[str]) -> DataFrame:
+    wide = clean.groupBy(*keys).agg(*[F.percentile(v, [lo, hi]).alias(v) for v in variables])
+    return (
+        wide.unpivot(keys, list(variables), "variable", "_q").where(F.col("_q").isNotNull())
+        .select(*keys, "variable", F.col("_q")[0].alias("q05"), F.col("_q")[1].alias("q95"))
+    )
+
+
+def _large_quantiles(
+    clean: DataFrame, variables: Sequence[str], lo: float, hi: float, keys: list[str], accuracy: int
+) -> DataFrame:
+    """A mergeable sketch brackets each quantile; a second pass counts exactly
+    what lies below, inside and above the brackets, keeping only inside values
+    apart; the wanted ranks are then found among those."""
     margin = 4.0 / accuracy
     probs = [min(1.0, max(0.0, p + s * margin)) for p in (lo, hi) for s in (-1, 1)]
-    clean = df.select(*keys, *[F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in variables])
     low, high = F.lit(float("-inf")), F.lit(float("inf"))
     # The sketch is written out: its true size then decides how it is joined,
-    # and the second pass does not repeat the first. Groups too small for the
-    # error bound to cover a rank keep all their values.
+    # and the second pass does not repeat the first. Variables with too few
+    # values for the error bound to cover a rank keep all of them.
     sketch = clean.groupBy(*keys).agg(
         *[
             F.when(F.count(v) <= accuracy, F.array(low, high, high, high))

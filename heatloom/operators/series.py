@@ -20,14 +20,14 @@ def _series_keys(keys: Sequence[str], batch_col: str | None) -> list[str]:
     return [*keys, batch_col] if batch_col else list(keys)
 
 
-def interval_mean_expr(v: str, circular: bool = False) -> Column:
-    here, after = F.col(v), F.col("_next")[v]
+def interval_mean_expr(v: str, time: str = "time", circular: bool = False) -> Column:
+    here, after = F.col(v), F.col(f"_next_{v}")
     if circular:
         a, b = F.radians(here), F.radians(after)
         mean = F.pmod(F.degrees(F.atan2(F.sin(a) + F.sin(b), F.cos(a) + F.cos(b))), F.lit(360.0))
     else:
         mean = (after + here) / F.lit(2.0)
-    return F.when(F.col("_next").isNotNull(), mean).otherwise(here)
+    return F.when(F.col(f"_next_{time}").isNotNull(), mean).otherwise(here)
 
 
 def interval_mean(
@@ -44,42 +44,48 @@ def interval_mean(
 
     Directions named in ``circular`` are averaged as vectors.
     """
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, tie, bucket_seconds)
-    return drop_neighbours(n.withColumns({v: interval_mean_expr(v, v in circular) for v in variables}))
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, variables, tie, bucket_seconds)
+    return drop_neighbours(n.withColumns({v: interval_mean_expr(v, time, v in circular) for v in variables}))
 
 
-def radiation_expr(v: str) -> Column:
+def radiation_expr(v: str, time: str = "time") -> Column:
     """Hourly mean flux from an accumulated sum; 0 at the ends and where not > 0."""
-    flux = (F.col("_next")[v] - F.col(v)) / F.lit(float(SECONDS_PER_HOUR))
-    inner = F.col("_prev").isNotNull() & F.col("_next").isNotNull()
+    flux = (F.col(f"_next_{v}") - F.col(v)) / F.lit(float(SECONDS_PER_HOUR))
+    inner = F.col(f"_prev_{time}").isNotNull() & F.col(f"_next_{time}").isNotNull()
     return F.when(inner & (flux > 0), flux).otherwise(F.lit(0.0))
 
 
-def rain_expr(v: str, fix_last_unit: bool = False) -> Column:
+def rain_expr(v: str, time: str = "time", tie: Sequence[str] = (), fix_last_unit: bool = False) -> Column:
     """Hourly rain from an accumulated sum.
 
     First row 0, last row the difference to the row before (in metres unless
     ``fix_last_unit``), else the difference to the next row in mm. A negative
     result takes the unrepaired result of the row before.
     """
-    here, prev, nxt = F.col(v), F.col("_prev"), F.col("_next")
+    here, prev, after = F.col(v), F.col(f"_prev_{v}"), F.col(f"_next_{v}")
+    is_first, is_last = F.col(f"_prev_{time}").isNull(), F.col(f"_next_{time}").isNull()
     mm = F.lit(float(MM_PER_METRE))
-    last = (here - prev[v]) * mm if fix_last_unit else here - prev[v]
-    raw = F.when(prev.isNull(), F.lit(0.0)).when(nxt.isNull(), last).otherwise((nxt[v] - here) * mm)
-    before = F.when(prev["o"] == F.col("_start"), F.lit(0.0)).otherwise((here - prev[v]) * mm)
-    return F.when(raw >= 0, raw).when(prev.isNotNull(), before)
+    last = (here - prev) * mm if fix_last_unit else here - prev
+    raw = F.when(is_first, F.lit(0.0)).when(is_last, last).otherwise((after - here) * mm)
+    prev_is_first = F.lit(True)
+    for c in (time, *tie):
+        prev_is_first = prev_is_first & (F.col(f"_prev_{c}") == F.col(f"_first_{c}"))
+    before = F.when(prev_is_first, F.lit(0.0)).otherwise((here - prev) * mm)
+    return F.when(raw >= 0, raw).when(~is_first, before)
 
 
-def deaccumulate_radiation(df, col="GHI", keys=("weatherStation",), time="time", tie=(), batch_col=None,
-                           bucket_seconds=WEEK) -> DataFrame:
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, tie, bucket_seconds)
-    return drop_neighbours(n.withColumn(col, radiation_expr(col)))
+def deaccumulate_radiation(df: DataFrame, col: str = "GHI", keys: Sequence[str] = ("weatherStation",),
+                           time: str = "time", tie: Sequence[str] = (), batch_col: str | None = None,
+                           bucket_seconds: int = WEEK) -> DataFrame:
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, [col], tie, bucket_seconds)
+    return drop_neighbours(n.withColumn(col, radiation_expr(col, time)))
 
 
-def deaccumulate_rain(df, col="totalPrecipitation", keys=("weatherStation",), time="time", tie=(),
-                      batch_col=None, fix_last_unit=False, bucket_seconds=WEEK) -> DataFrame:
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, tie, bucket_seconds)
-    return drop_neighbours(n.withColumn(col, rain_expr(col, fix_last_unit)))
+def deaccumulate_rain(df: DataFrame, col: str = "totalPrecipitation", keys: Sequence[str] = ("weatherStation",),
+                      time: str = "time", tie: Sequence[str] = (), batch_col: str | None = None,
+                      fix_last_unit: bool = False, bucket_seconds: int = WEEK) -> DataFrame:
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, [col], tie, bucket_seconds)
+    return drop_neighbours(n.withColumn(col, rain_expr(col, time, tie, fix_last_unit)))
 
 
 def harmonise_series(
@@ -95,12 +101,13 @@ def harmonise_series(
     bucket_seconds: int = WEEK,
 ) -> DataFrame:
     """Interval means and both de-accumulations after a single shuffle."""
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, (), bucket_seconds)
-    new = {v: interval_mean_expr(v, v in circular) for v in mean_of}
+    cols = [*mean_of, *([radiation] if radiation else []), *([rain] if rain else [])]
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, cols, (), bucket_seconds)
+    new = {v: interval_mean_expr(v, time, v in circular) for v in mean_of}
     if radiation:
-        new[radiation] = radiation_expr(radiation)
+        new[radiation] = radiation_expr(radiation, time)
     if rain:
-        new[rain] = rain_expr(rain, fix_last_unit)
+        new[rain] = rain_expr(rain, time, (), fix_last_unit)
     return drop_neighbours(n.withColumns(new))
 
 

@@ -153,15 +153,15 @@ def test_ecdf_rank_equals_counting(spark, splits):
         assert r["v_percentile"] == pytest.approx(sum(x <= r["v"] for x in values) / 399)
 
 
-@pytest.mark.parametrize("accuracy", [20, 50, 10000])
-def test_quantiles_equal_percentile(spark, accuracy):
+@pytest.mark.parametrize(("accuracy", "small"), [(20, 0), (50, 0), (10000, 0), (50, 1000), (10000, 100_000)])
+def test_quantiles_equal_percentile(spark, accuracy, small):
     df = spark.range(30000).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 50) END AS weatherStation",
         "CASE WHEN id % 7 = 0 THEN 0D WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN double('NaN') ELSE abs(hash(id)) % 5000 / 7D END AS v",
     )
     want = df.where("v IS NOT NULL AND NOT isnan(v)").groupBy("weatherStation").agg(F.expr("percentile(v, array(0.05D, 0.95D))").alias("q"))
     want = {r["weatherStation"]: r["q"] for r in want.collect()}
-    got = {r["weatherStation"]: [r["q05"], r["q95"]] for r in order.quantile_stats(df, ["v"], accuracy=accuracy).collect()}
+    got = {r["weatherStation"]: [r["q05"], r["q95"]] for r in order.quantile_stats(df, ["v"], accuracy=accuracy, small_group=small).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
