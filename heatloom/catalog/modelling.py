@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import model, order
-from ..operators.neighbours import HOUR
 from ..plans import downscale, harmonise
 from . import views as v
+from .timeseries import CUT
 from .basics import DISC_CTE, SUN_CTE
 from .registry import query, r6, rounded, sql_r6
 
@@ -152,7 +152,7 @@ HIST_OUT = [c for c in harmonise.HISTORY_MEANS if c not in ("windDirection",)] +
 
 @query("m8_history_weather", f"{_hist_sql()} SELECT event_id, weatherStation, time, {', '.join(f'round({c}, 5) + 0.0::double AS {c}' for c in HIST_OUT + ['windDirection'])}, round(sunElevation, 4) + 0.0::double AS sunElevation, round(sunAzimuth, 4) + 0.0::double AS sunAzimuth, round(DNI, 3) + 0.0::double AS DNI, round(DHI, 3) + 0.0::double AS DHI FROM sun")
 def _(s, d):
-    out = harmonise.history_weather(v.raw(s, d), bucket_seconds=HOUR)
+    out = harmonise.history_weather(v.raw(s, d), **CUT)
     five = {c: F.round(c, 5) + 0.0 for c in HIST_OUT + ["windDirection"]}
     four = {c: F.round(c, 4) + 0.0 for c in ("sunElevation", "sunAzimuth")}
     three = {c: F.round(c, 3) + 0.0 for c in ("DNI", "DHI")}
@@ -171,7 +171,7 @@ def _(s, d):
     raw = v.raw(s, d).selectExpr(
         "event_id", "valid_time AS time", "latitude AS lat", "longitude AS lon", "u10 AS u", "v10 AS v", "t2m AS temp", "fal AS rh", "tp AS prec", "ssrd / 3600 AS swflx"
     )
-    out = harmonise.forecast_weather(raw, bucket_seconds=HOUR)
+    out = harmonise.forecast_weather(raw, **CUT)
     five = {c: F.round(c, 5) + 0.0 for c in harmonise.FORECAST_MEANS}
     three = {c: F.round(c, 3) + 0.0 for c in ("DNI", "DHI")}
     return out.withColumns(five | three | {"totalPrecipitation": F.round("totalPrecipitation", 6)}).select(

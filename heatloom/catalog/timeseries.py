@@ -9,8 +9,9 @@ from ..operators.neighbours import HOUR, mark_ends
 from . import views as v
 from .registry import query, r6, rounded, sql_r6
 
-# Events come many per hour, so series are cut by the hour here.
-CUT = {"bucket_seconds": HOUR}
+# Few stations share all events here, and many fall into an hour: series of more
+# than a thousand rows are cut by the hour, so both ways of finding neighbours run.
+CUT = {"bucket_seconds": HOUR, "whole_series": 1000}
 BATCH = "(dayofyear(time) - 1) // 7"
 W = "OVER (PARTITION BY weatherStation ORDER BY time)"
 WB = "OVER (PARTITION BY weatherStation, batch ORDER BY time)"

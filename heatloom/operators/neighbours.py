@@ -1,14 +1,15 @@
-"""Values of the previous and next row of every series, for very long series.
-
-A plain ``lag``/``lead`` over ``partitionBy(station)`` puts a whole station
-into one task. Here a series is cut into time buckets: the rows are shuffled
-once by (series, bucket), and only the first and last row of each bucket
-travel further to bridge the cuts. Bridging is done twice, with a coarse
-bucket the second time, so the last window sees one row per coarse bucket.
-
-The bucket ends are a partial aggregate of the needed columns, taken before
-any shuffle. It reads the input a second time, so write out an input that is
-itself the result of large joins.
+"""Values of the previous and next row of every series, however long.
+
+``lag``/``lead`` over ``partitionBy(station)`` puts a whole station into one
+task. That is right while the longest series is short, so its length is counted
+first (a partial aggregate of the key columns). Beyond the bound a series is cut
+into time buckets: the rows are shuffled by (series, bucket), and only the first
+and last row of each bucket travel further to bridge the cuts. Bridging is done
+twice, with a coarse bucket the second time, so the last window sees one row per
+coarse bucket.
+
+The input is read once for the count and, on the long way, once for the bucket
+ends; write out an input that is itself the result of large joins.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 HOUR = 3600
 DAY = 24 * HOUR
 WEEK = 7 * DAY
+# The longest series that is left to one task: over a century of hours.
+WHOLE_SERIES = 1_000_000
 # Buckets of the first level that share one bucket of the second level.
 BUCKETS_PER_COARSE = 1000
 
@@ -30,6 +33,11 @@ def time_bucket(time: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(time.cast("timestamp")) / F.lit(seconds))
 
 
+def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,26 +45,44 @@ def with_neighbours(
     cols: Sequence[str] = (),
     tie: Sequence[str] = (),
     bucket_seconds: int = WEEK,
+    whole_series: int = WHOLE_SERIES,
 ) -> DataFrame:
     """Adds ``_prev_<c>`` and ``_next_<c>`` for the time, the tie columns and
     ``cols``: the values of the row before / after in its series, null at the
     ends. ``_first_<c>`` holds time and tie columns of the first row.
 
     ``keys`` and ``time`` must not be null. Choose ``bucket_seconds`` so that a
-    bucket of the longest series fits a task; it does not change the result.
+    bucket of the longest series fits a task. Neither it nor ``whole_series``
+    changes the result.
     """
     keys, order = list(keys), [time, *tie]
     carried = [*order, *[c for c in cols if c not in order]]
-    base = df.withColumn("_b", time_bucket(F.col(time), bucket_seconds))
+    if longest_series(df, keys) <= whole_series:
+        return _in_one_window(df, keys, order, carried)
+    return _over_buckets(df, keys, order, carried, bucket_seconds)
+
 
-    by_bucket = Window.partitionBy(*keys, "_b").orderBy(*order)
-    inside = {f"_next_{c}": F.lead(c).over(by_bucket) for c in carried}
-    inside |= {f"_prev_{c}": F.lag(c).over(by_bucket) for c in carried}
-    rows = base.withColumns(inside)
+def _shifted(carried: list[str], window) -> dict[str, Column]:
+    after = {f"_next_{c}": F.lead(c).over(window) for c in carried}
+    return after | {f"_prev_{c}": F.lag(c).over(window) for c in carried}
+
+
+def _in_one_window(df: DataFrame, keys: list[str], order: list[str], carried: list[str]) -> DataFrame:
+    series = Window.partitionBy(*keys).orderBy(*order)
+    first = {f"_first_{c}": F.first(c).over(series) for c in order}
+    return df.withColumns(_shifted(carried, series) | first)
+
+
+def _over_buckets(
+    df: DataFrame, keys: list[str], order: list[str], carried: list[str], bucket_seconds: int
+) -> DataFrame:
+    time = order[0]
+    base = df.withColumn("_b", time_bucket(F.col(time), bucket_seconds))
+    rows = base.withColumns(_shifted(carried, Window.partitionBy(*keys, "_b").orderBy(*order)))
 
-    # With a single order column every buffer is a plain value and the ends
-    # are found by hash aggregation.
-    by = F.col(time) if not tie else F.struct(*order)
+    # With one order column all buffers are plain values and the ends are found
+    # by hash aggregation.
+    by = F.col(time) if len(order) == 1 else F.struct(*order)
     ends = base.groupBy(*keys, "_b").agg(
         *[F.min_by(c, by).alias(f"f_{c}") for c in carried], *[F.max_by(c, by).alias(f"l_{c}") for c in carried]
     )
@@ -97,8 +123,8 @@ def drop_neighbours(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(("_next_", "_prev_", "_first_"))])
 
 
-def mark_ends(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = (), **kw) -> DataFrame:
+def mark_ends(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = (), **cut: int) -> DataFrame:
     """Adds ``is_first`` and ``is_last`` row flags per series."""
-    n = with_neighbours(df, keys, time, [], tie, **kw)
+    n = with_neighbours(df, keys, time, [], tie, **cut)
     flags = {"is_first": F.col(f"_prev_{time}").isNull(), "is_last": F.col(f"_next_{time}").isNull()}
     return drop_neighbours(n.withColumns(flags))

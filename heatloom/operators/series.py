@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import WEEK, drop_neighbours, with_neighbours
+from .neighbours import drop_neighbours, with_neighbours
 
 # Radiation arrives as J/m2 per hour, rain in metres.
 SECONDS_PER_HOUR = 3600
@@ -38,13 +38,14 @@ def interval_mean(
     tie: Sequence[str] = (),
     batch_col: str | None = None,
     circular: Sequence[str] = (),
-    bucket_seconds: int = WEEK,
+    **cut: int,
 ) -> DataFrame:
     """Each value becomes the mean of itself and the next one; the last stays.
 
-    Directions named in ``circular`` are averaged as vectors.
+    Directions named in ``circular`` are averaged as vectors. ``cut`` are the
+    options of :func:`with_neighbours` for long series.
     """
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, variables, tie, bucket_seconds)
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, variables, tie, **cut)
     return drop_neighbours(n.withColumns({v: interval_mean_expr(v, time, v in circular) for v in variables}))
 
 
@@ -76,15 +77,15 @@ def rain_expr(v: str, time: str = "time", tie: Sequence[str] = (), fix_last_unit
 
 def deaccumulate_radiation(df: DataFrame, col: str = "GHI", keys: Sequence[str] = ("weatherStation",),
                            time: str = "time", tie: Sequence[str] = (), batch_col: str | None = None,
-                           bucket_seconds: int = WEEK) -> DataFrame:
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, [col], tie, bucket_seconds)
+                           **cut: int) -> DataFrame:
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, [col], tie, **cut)
     return drop_neighbours(n.withColumn(col, radiation_expr(col, time)))
 
 
 def deaccumulate_rain(df: DataFrame, col: str = "totalPrecipitation", keys: Sequence[str] = ("weatherStation",),
                       time: str = "time", tie: Sequence[str] = (), batch_col: str | None = None,
-                      fix_last_unit: bool = False, bucket_seconds: int = WEEK) -> DataFrame:
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, [col], tie, bucket_seconds)
+                      fix_last_unit: bool = False, **cut: int) -> DataFrame:
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, [col], tie, **cut)
     return drop_neighbours(n.withColumn(col, rain_expr(col, time, tie, fix_last_unit)))
 
 
@@ -98,11 +99,11 @@ def harmonise_series(
     batch_col: str | None = None,
     circular: Sequence[str] = (),
     fix_last_unit: bool = False,
-    bucket_seconds: int = WEEK,
+    **cut: int,
 ) -> DataFrame:
     """Interval means and both de-accumulations after a single shuffle."""
     cols = [*mean_of, *([radiation] if radiation else []), *([rain] if rain else [])]
-    n = with_neighbours(df, _series_keys(keys, batch_col), time, cols, (), bucket_seconds)
+    n = with_neighbours(df, _series_keys(keys, batch_col), time, cols, (), **cut)
     new = {v: interval_mean_expr(v, time, v in circular) for v in mean_of}
     if radiation:
         new[radiation] = radiation_expr(radiation, time)

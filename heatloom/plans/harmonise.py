@@ -9,7 +9,6 @@ from ..functions.clock import to_time
 from ..functions.keys import station_key
 from ..functions.solar import sun_position, with_radiation
 from ..functions.weather import kelvin_to_celsius, relative_humidity, wind_direction, wind_speed
-from ..operators.neighbours import WEEK
 from ..operators.series import harmonise_series
 from ..operators.tables import attach_coords, drop_nulls, join_variables, rename_present
 
@@ -62,7 +61,7 @@ def _with_station(df: DataFrame) -> DataFrame:
 
 
 def history_weather(df: DataFrame, batch_col: str | None = None, circular_wind: bool = False,
-                    fix_last_unit: bool = False, bucket_seconds: int = WEEK) -> DataFrame:
+                    fix_last_unit: bool = False, **cut: int) -> DataFrame:
     """Wide raw history rows to the harmonised table.
 
     One shuffle: all variables of a station's time bucket travel together.
@@ -77,13 +76,13 @@ def history_weather(df: DataFrame, batch_col: str | None = None, circular_wind:
     )
     smooth = harmonise_series(
         derived, HISTORY_MEANS, ["weatherStation"], radiation="GHI", rain="totalPrecipitation", batch_col=batch_col,
-        circular=["windDirection"] if circular_wind else [], fix_last_unit=fix_last_unit, bucket_seconds=bucket_seconds,
+        circular=["windDirection"] if circular_wind else [], fix_last_unit=fix_last_unit, **cut,
     )
     return _with_sun(smooth)
 
 
 def forecast_weather(df: DataFrame, batch_col: str | None = None, circular_wind: bool = False,
-                     bucket_seconds: int = WEEK) -> DataFrame:
+                     **cut: int) -> DataFrame:
     """Wide raw forecast rows (with coordinates) to the harmonised table."""
     named = rename_present(drop_nulls(df.drop("index")), FORECAST_VARIABLES)
     named = named.withColumn("time", to_time(F.col("time")))
@@ -92,7 +91,7 @@ def forecast_weather(df: DataFrame, batch_col: str | None = None, circular_wind:
     )
     smooth = harmonise_series(
         derived, FORECAST_MEANS, ["weatherStation"], batch_col=batch_col,
-        circular=["windDirection"] if circular_wind else [], bucket_seconds=bucket_seconds,
+        circular=["windDirection"] if circular_wind else [], **cut,
     )
     return _with_sun(smooth)
 
