@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .neighbours import DAY, time_bucket
+from .neighbours import HOUR, time_bucket
 
 HASH_HEX_DIGITS = 3  # 4,096 equally likely buckets
 
@@ -35,7 +35,7 @@ def global_row_number(df: DataFrame, bucket: Column, order: Sequence[str], alias
 
 def time_rank(times: DataFrame, time: str, alias: str) -> DataFrame:
     """Position of each distinct time in time order."""
-    return global_row_number(times, time_bucket(F.col(time), DAY), [time], alias)
+    return global_row_number(times, time_bucket(F.col(time), HOUR), [time], alias)
 
 
 def seed_hash(time: str, seed: int) -> Column:

@@ -24,6 +24,9 @@ def get_spark(app: str = "heatloom", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM leaves larger methods uncompiled; wide rows then run faster
+        # without whole-stage code.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Without this every column call walks the Python stack for its origin.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -47,8 +50,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch root; never reused between calls."""
-    return f"{scratch_root(spark)}/heatloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the scratch root; never reused between calls. One
+    folder per application holds all of them, so it can be removed afterwards."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/heatloom-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
