@@ -122,21 +122,26 @@ def with_heat_index(df: DataFrame, lookup: DataFrame) -> DataFrame:
     return bilinear(df, F.col("airTemperature"), to_percent(F.col("relativeHumidity")), lookup, "heatIndex")
 
 
+def day_and_night(df: DataFrame, value: str, time: str, *keep: Column | str) -> DataFrame:
+    """The value as ``_night_v`` and ``_day_v``, null on the other side. Its own
+    projection, so that value and hour are computed once per row."""
+    v, day = F.col(value), is_day(F.col(time))
+    return df.select(*keep, F.when(~day, v).alias("_night_v"), F.when(day, v).alias("_day_v"))
+
+
+def side_aggregates() -> list[Column]:
+    return [
+        fn(f"_{side}_v").alias(f"{side}_temp_{name}")
+        for side in ("night", "day") for name, fn in (("min", F.min), ("mean", F.avg), ("max", F.max))
+    ]
+
+
 def daily_stats(df: DataFrame, value: str = "heatIndex", keys: Sequence[str] = ("weatherStation",),
                 time: str = "time") -> DataFrame:
     """Night and day min, mean and max per date and key in one aggregate; a
     side without hours is null."""
-    t, v = F.col(time), F.col(value)
-    # One projection per side, so that value and hour are computed once.
-    sides = df.select(*keys, F.to_date(t).alias("date"), F.when(is_day(t), F.lit(1)).alias("_day"), v.alias("_v"))
-    sides = sides.select(
-        *keys, "date", F.when(F.col("_day").isNull(), F.col("_v")).alias("_night_v"), F.when(F.col("_day") == 1, F.col("_v")).alias("_day_v")
-    )
-    aggs = [
-        fn(f"_{side}_v").alias(f"{side}_temp_{name}")
-        for side in ("night", "day") for name, fn in (("min", F.min), ("mean", F.avg), ("max", F.max))
-    ]
-    return sides.groupBy("date", *keys).agg(*aggs)
+    sides = day_and_night(df, value, time, *keys, F.to_date(time).alias("date"))
+    return sides.groupBy("date", *keys).agg(*side_aggregates())
 
 
 def heat_flag_columns(rolling: str) -> dict[str, Column]:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import forecast_hours, fourier, issue_time
 from ..functions.keys import station_lat, station_lon
-from ..functions.weather import quantile_scale, quantile_unscale
+from ..functions.weather import nan_to_null, quantile_scale, quantile_unscale
 from ..session import materialise
 from .order import quantile_stats, shuffled_rank, time_rank
-from .tables import paired_product, select_times
+from .tables import drop_nulls, paired_product, select_times
 
 # Variables in model order, for forecast and history input.
 FORECAST_ORDER = [
@@ -155,23 +155,35 @@ def prepare_training(
     return build_features(y, x, static, variables, stations, n_harmonics), lr_stats, hr_stats
 
 
+# Stands for a missing feature: below every real value, so trees can split it
+# off and no row has to be dropped.
+MISSING = -1e6
+
+
+def fill_missing(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(MISSING)) for c in features})
+
+
 def train(df: DataFrame, features: Sequence[str], targets: Sequence[str] = tuple(TARGETS),
           params: Mapping | None = None, validation: str | None = None) -> PipelineModel:
     """One boosted-tree regressor per target, label ``y_<t>``, output
-    ``pred_<t>``. With a boolean ``validation`` column training stops early."""
+    ``pred_<t>``. With a boolean ``validation`` column training stops early.
+    Rows without a label cannot be trained on and are left out."""
     p = {**TRAINING, **(params or {})}
-    stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")]
+    labelled = drop_nulls(df, [f"y_{t}" for t in targets])
+    stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")]
     for t in targets:
         gbt = GBTRegressor(
             featuresCol="features", labelCol=f"y_{t}", predictionCol=f"pred_{t}", maxIter=p["iterations"],
             stepSize=p["learn_rate"], maxDepth=p["depth"], seed=p["seed"],
         )
         stages.append(gbt.setValidationIndicatorCol(validation) if validation else gbt)
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(fill_missing(labelled, features))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("features")
+    """Every input row with ``pred_<t>`` columns."""
+    return model.transform(fill_missing(df, model.stages[0].getInputCols())).drop("features")
 
 
 def assemble_predictions(pred: DataFrame, stats: DataFrame, targets: Sequence[str] = tuple(TARGETS),

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.clock import is_day, is_night
 from ..operators.dedup import dedup_keep_last
+from ..operators.heat import day_and_night, side_aggregates
 from ..sources.observations import ARRIVAL, KEYS, clean_observations, stream_observation_files
 
 
@@ -46,15 +46,9 @@ def stream_daily_stats(stream: DataFrame, lateness: str, value: str = "heatIndex
                        keys: Sequence[str] = ("weatherStation",), time: str = "time") -> DataFrame:
     """Night and day statistics per date; rows later than ``lateness`` behind
     the newest are left out. A date is emitted once it is complete."""
-    t = F.col(time).cast("timestamp")
-    timed = stream.withColumn(time, t).withWatermark(time, lateness)
-    aggs = []
-    for side, mask in (("night", is_night(F.col(time))), ("day", is_day(F.col(time)))):
-        v = F.when(mask, F.col(value))
-        aggs += [
-            F.min(v).alias(f"{side}_temp_min"), F.avg(v).alias(f"{side}_temp_mean"), F.max(v).alias(f"{side}_temp_max")
-        ]
-    daily = timed.groupBy(F.window(time, "1 day").alias("w"), *keys).agg(*aggs)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    sides = day_and_night(timed, value, time, *keys, time)
+    daily = sides.groupBy(F.window(time, "1 day").alias("w"), *keys).agg(*side_aggregates())
     return daily.withColumn("date", F.to_date("w.start")).drop("w")
 
 

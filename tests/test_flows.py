@@ -180,3 +180,19 @@ def test_static_features_are_scaled(spark):
         lo, hi = got.agg(F.min(c), F.max(c)).first()
         assert lo is not None and lo >= 0 and hi <= 1, c
     assert set(got.columns) == {"weatherStation", "elevation", "area_percentile", "floors_percentile", "ndvi_min", "ndvi_max", "ndvi_mean"}
+
+
+def test_training_beats_the_mean_and_predicts_every_row(spark):
+    from heatloom.operators import model
+
+    data = [
+        (h, T0 + dt.timedelta(hours=h), "41.3_2.1", float(h % 24) / 24, None if h % 7 == 0 else h % 5 / 5.0, (h % 24) / 24 * 0.8 + 0.1)
+        for h in range(400)
+    ]
+    df = spark.createDataFrame(data, "id int, time timestamp_ntz, weatherStation string, a double, b double, y_airTemperature double")
+    df = df.withColumn("held", F.col("id") % 5 == 0)
+    fitted = model.train(df, ["a", "b"], ["airTemperature"], {"iterations": 10, "depth": 3, "learn_rate": 0.5}, "held")
+    out = model.predict(fitted, df)
+    assert out.count() == 400
+    error = model.rmse(out.where("held"), {"y_airTemperature": "pred_airTemperature"}).first()["rmse"]
+    assert error < 0.1

@@ -10,6 +10,8 @@ import __spark_entry__ as entry_module
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
+# Pairs without a key, and rows that leave the JVM.
+UNWANTED = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"]
 QUERIES = entry_module.queries()
 SQL = entry_module.oracle_sql()
 
@@ -39,6 +41,9 @@ def table_of(columns, rows):
 def test_query(spark, duck, data, name):
     df = QUERIES[name](spark, data)
     got = df.collect()
+    if name in SQL:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [node for node in UNWANTED if node in plan]
     if name not in SQL:
         assert got, "a query without SQL must at least give rows"
         return
