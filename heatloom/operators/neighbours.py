@@ -46,6 +46,7 @@ def with_neighbours(
     tie: Sequence[str] = (),
     bucket_seconds: int = WEEK,
     whole_series: int = WHOLE_SERIES,
+    longest: int | None = None,
 ) -> DataFrame:
     """Adds ``_prev_<c>`` and ``_next_<c>`` for the time, the tie columns and
     ``cols``: the values of the row before / after in its series, null at the
@@ -53,11 +54,14 @@ def with_neighbours(
 
     ``keys`` and ``time`` must not be null. Choose ``bucket_seconds`` so that a
     bucket of the longest series fits a task. Neither it nor ``whole_series``
-    changes the result.
+    changes the result. ``longest`` is a known bound on the rows of a series;
+    without it they are counted.
     """
     keys, order = list(keys), [time, *tie]
     carried = [*order, *[c for c in cols if c not in order]]
-    if longest_series(df, keys) <= whole_series:
+    if longest is None:
+        longest = longest_series(df, keys)
+    if longest <= whole_series:
         return _in_one_window(df, keys, order, carried)
     return _over_buckets(df, keys, order, carried, bucket_seconds)
 
