@@ -6,14 +6,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from heatloom.catalog import registry
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 # Pairs without a key, and rows that leave the JVM.
 UNWANTED = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow"]
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = registry.QUERIES
+SQL = registry.SQL
 
 
 @pytest.fixture(scope="module")
