@@ -27,6 +27,9 @@ _HEAD, _CHECK, _ID, _PAIR = "<Q", "<I", "<?qB", "<QQ"
 _BUFFER = 1 << 20
 MANIFEST = "part int, path string, n_records long, n_tokens long"
 RECORDS = "doc_id long, part int, first long, ids binary"
+RECORDS_KINDS = {"doc_id": pa.int64(), "part": pa.int32(), "first": pa.int64(), "ids": pa.binary()}
+DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+DIGEST_KINDS = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
 
 
 def masked(data: bytes) -> int:
@@ -121,41 +124,55 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     return materialise(dealt.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end_id), MANIFEST), "manifest")
 
 
-def _reader(wanted: bool):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, path, *span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store, name = _store(path)
-                found, size, first = [], 0, 0
-                with store.open_input_file(f"{name}.rec") if wanted else store.open_input_stream(f"{name}.rec", buffer_size=_BUFFER) as data:
-                    spans = [span] if wanted else iter(lambda: (0, None), None)
-                    for at, length in spans:
-                        if wanted:
-                            data.seek(at)
-                        payload = unframe(data, length)
-                        if payload is None:
-                            break
-                        doc_id, ids = unpack_ids(payload)
-                        found.append((doc_id, part, first, ids))
-                        first, size = first + len(ids) // WIDTH, size + len(ids)
-                        if size > 1 << 23:
-                            yield _rows(found)
-                            found, size = [], 0
-                yield _rows(found)
-
-    return read
-
-
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    columns = zip(*found, strict=True) if found else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "part", "first", "ids"])
+def _spans(stream, span: list[int]) -> Iterator[tuple[int | None, bytes]]:
+    """The record at an (offset, length), or else all records of a file."""
+    if span:
+        stream.seek(span[0])
+        yield unpack_ids(unframe(stream, span[1]))
+    else:
+        while (payload := unframe(stream)) is not None:
+            yield unpack_ids(payload)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (part, path, offset?, length?): the records with their ids."""
+    for batch in batches:
+        found, size = [], 0
+        for part, path, *span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            store, name = _store(path)
+            first = 0
+            with store.open_input_file(f"{name}.rec") if span else store.open_input_stream(f"{name}.rec", buffer_size=_BUFFER) as stream:
+                for doc_id, ids in _spans(stream, span):
+                    found.append((doc_id, part, first, ids))
+                    first, size = first + len(ids) // WIDTH, size + len(ids)
+                    if size > 1 << 23:
+                        yield _rows(found, RECORDS_KINDS)
+                        found, size = [], 0
+        yield _rows(found, RECORDS_KINDS)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (path, ids before the file): what the records hold, without the ids."""
+    for batch in batches:
+        for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            store, name = _store(path)
+            found = []
+            with store.open_input_stream(f"{name}.rec", buffer_size=_BUFFER) as stream:
+                for doc_id, ids in _spans(stream, []):
+                    n = len(ids) // WIDTH
+                    found.append((doc_id, start, n, zlib.crc32(ids)))
+                    start += n
+            yield _rows(found, DIGEST_KINDS)
+
+
+def _rows(found: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
 def read_records(files: DataFrame) -> DataFrame:
     """All records of the files of a manifest, checked; ``first`` counts the file's ids before the record."""
-    n = max(1, files.count())
-    return files.select("part", "path").repartition(n, "part").mapInArrow(_reader(False), RECORDS)
+    return files.select("part", "path").repartition(max(1, files.count()), "part").mapInArrow(_read, RECORDS)
 
 
 def read_index(files: DataFrame) -> DataFrame:
@@ -179,21 +196,15 @@ def read_shuffled(files: DataFrame, seed: int) -> DataFrame:
     """All records in an order fixed by the seed: the index is shuffled, then each record is read at its offset."""
     order = F.xxhash64(F.lit(seed), "part", "offset")
     spots = read_index(files).withColumn("_order", order).repartitionByRange("_order").sortWithinPartitions("_order", "part", "offset")
-    return spots.select("part", "path", "offset", "length").mapInArrow(_reader(True), RECORDS).drop("first")
+    return spots.select("part", "path", "offset", "length").mapInArrow(_read, RECORDS).drop("first")
 
 
 def digest(files: DataFrame) -> DataFrame:
     """Per record, read back from the files: doc_id, start, n_tokens and ids_crc32 of its ids."""
     # One row per file; the running total is the only step without a key.
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = files.select(F.col("part").alias("_part"), before.alias("_before"))
-    got = read_records(files)
-    return got.join(totals, got["part"] == totals["_part"]).select(
-        "doc_id",
-        (F.col("_before") + F.col("first")).cast("long").alias("start"),
-        (F.length("ids") / WIDTH).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-    )
+    starts = files.select("path", before.cast("long").alias("start")).repartition(max(1, files.count()), "path")
+    return starts.mapInArrow(_digest, DIGEST)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -32,12 +32,13 @@ def default_tokenizer() -> str:
 class Encoder(dict):
     """Encodes texts part by part and remembers short parts in two generations of ``room`` each."""
 
-    def __init__(self, path: str, room: int = 400_000, longest: int = 40):
+    def __init__(self, path: str, room: int = 600_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # parts that come again never reach the model
         self.room, self.longest, self.older = room, longest, {}
         self.as_model = {}
         for letter in map(chr, [32, *range(0x180)]):
