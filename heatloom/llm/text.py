@@ -14,8 +14,8 @@ _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = {_BASE: np.ones(1, np.uint64)}
-_powers[np.uint64(pow(int(_BASE), -1, 1 << 64))] = np.ones(1, np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     """64-bit hashes of byte ranges: a polynomial over random byte values, then mixed with the length."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
-    inverse = _power(list(_powers)[1], len(data) + 1)
+    inverse = _power(_INVERSE, len(data) + 1)
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
@@ -131,3 +131,12 @@ def shingles(found: Words, rows: int, k: int) -> Shingles:
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     at = np.flatnonzero(new)
     return Shingles(h[at], r[at], np.diff(np.append(at, len(h))))
+
+
+def span_mix(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of entries between consecutive edges, by a polynomial over the entries."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power(_BASE, len(hashes)), out=total[1:])
+    inverse = _power(_INVERSE, len(hashes) + 1)
+    start, end = edges[:-1], edges[1:]
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
