@@ -25,16 +25,19 @@ from heatloom.llm import text
 from heatloom.llm.span_dedup import text_key
 from heatloom.session import materialise
 
-LENGTH, RUN, SECTION = 400, 16, 1 << 22
+LENGTH, RUN, SECTION = 400, 64, 1 << 22
 BLOCK_BYTES = 1 << 20
 
 
 def _run_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of every RUN bytes."""
+    """Hash of every RUN bytes, a power of two from 8 on, by doubling."""
     x = data.astype(np.uint64)
     for shift, step in ((8, 1), (16, 2), (32, 4)):
         x = x[:-step] | (x[step:] << np.uint64(shift))
-    return text.mix(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + text.mix(x[8:]))
+    x, step = text.mix(x), 8
+    while step < RUN:
+        x, step = text.mix(x[:-step] * np.uint64(0x9E3779B97F4A7C15) + x[step:]), 2 * step
+    return x
 
 
 def anchors(data: np.ndarray, length: int) -> np.ndarray:
