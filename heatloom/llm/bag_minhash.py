@@ -194,7 +194,8 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY, shingle: int = S
     )
     dealt = members.join(cuts, F.col("label") == F.col("part")).withColumn("_block", F.pmod(F.xxhash64("bag"), F.col("n_blocks")).cast("int"))
     texts = dealt.select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), "bag", "part", "n_blocks", "_block")
-    texts = rows.join(texts, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key"))).dropDuplicates(["bag"])
+    # The members grow with the corpus: no broadcast, not even of a small table's.
+    texts = rows.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key"))).dropDuplicates(["bag"])
     # A block meets each other one, so a part of n blocks is sent n times.
     met = texts.select("bag", "part", "text", "_block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("_other"))
     met = met.select("bag", "part", "text", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
@@ -216,7 +217,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = materialise(near_groups(docs), "groups")
     low = F.coalesce("id", F.lit(-(1 << 63)))
     heads = grouped.where("group is not null").groupBy(F.col("group").alias("head_of")).agg(F.count("*").alias("group_size"), F.min(F.struct(low.alias("low"), "id", "key")).alias("head"))
-    joined = grouped.join(heads, F.col("group") == F.col("head_of"), "left")
+    # Written, so that a large group's rows can be split when they are joined.
+    joined = grouped.join(materialise(heads, "heads"), F.col("group") == F.col("head_of"), "left")
     return joined.select(
         F.col("id").alias("doc_id"),
         F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("head.id")).alias("group_id"),
