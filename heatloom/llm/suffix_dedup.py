@@ -183,13 +183,13 @@ def _fetch(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         data, offsets = text.text_bytes(batch.column(0))
         lists = batch.column(1)
         ends, rows = lists.offsets.to_numpy(), lists.flatten()
-        names = ("anchor", "class", "first", "windows")
         for lo, hi in text.blocks(offsets, 1 << 21):
             own = rows.slice(ends[lo], ends[hi] - ends[lo])
             start = np.repeat(offsets[lo:hi], np.diff(ends[lo : hi + 1])) + own.field("first").to_numpy()
             stop = start + own.field("windows").to_numpy() + length - 1
             got = pa.array([bytes(data[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(own.field(n) for n in (names[0], names[1], names[3])), got], ["anchor", "class", "windows", "bytes"])
+            names = ["anchor", "class", "windows", "n_blocks"]
+            yield pa.RecordBatch.from_arrays([*map(own.field, names), got], [*names, "bytes"])
 
 
 def repeated_windows(parts: list[bytes], windows: np.ndarray, length: int) -> list[np.ndarray]:
@@ -253,9 +253,13 @@ def _cut(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         )
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, key (hash of the text) and the byte spans (first, size) that repeated strings of ``length`` bytes cover."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
+    rows = _rows(docs)
     every = materialise(rows.mapInArrow(partial(_stretches, length), STRETCHES), "stretches")
     again = every.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a")
     found = materialise(every.join(again, F.col("anchor") == F.col("a")).drop("a"), "shared")
@@ -268,11 +272,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = mixed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = 1 + total // BLOCK_BYTES
     wanted = classes.join(mixed, F.col("anchor") == F.col("a")).groupBy(F.col("r.id").alias("w_id"), F.col("r.key").alias("w_key")).agg(
-        F.collect_list(F.struct("anchor", "class", F.col("r.first").alias("first"), "windows")).alias("wanted")
+        F.collect_list(F.struct("anchor", "class", F.col("r.first").alias("first"), "windows", "n_blocks")).alias("wanted")
     )
     fetched = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).select("text", "wanted")
-    bytes_ = fetched.mapInArrow(partial(_fetch, length), "anchor long, class long, windows int, bytes binary")
-    dealt = bytes_.join(mixed.select("a", "n_blocks"), F.col("anchor") == F.col("a"))
+    dealt = fetched.mapInArrow(partial(_fetch, length), "anchor long, class long, windows int, n_blocks int, bytes binary")
     # Small anchors share a bucket. One beyond a block is cut up, and each of its blocks meets each other one.
     mine = F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int")
     met = dealt.select(
@@ -310,8 +313,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     places. Stretches are told apart by 64-bit hashes of them and their anchor.
     """
     spans = repeated_spans(docs, length).select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key")), "left").select("text", "spans", "doc_id")
+    # Dealt out like the rows that the indexed stretches are fetched from, so both joins use one exchange.
+    joined = _rows(docs).join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key")), "left").select("text", "spans", F.col("id").alias("doc_id"))
     ddl = "kept binary, n_bytes long, n_removed long, spans array<struct<start long, end long>>, doc_id long"
     return joined.mapInArrow(partial(_cut, ["doc_id"]), ddl)
 
