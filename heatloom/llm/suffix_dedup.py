@@ -262,6 +262,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = _rows(docs)
     every = materialise(rows.mapInArrow(partial(_stretches, length), STRETCHES), "stretches")
     again = every.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a")
+    again = materialise(again, "anchors")  # a join by itself may split a frequent anchor's rows
     found = materialise(every.join(again, F.col("anchor") == F.col("a")).drop("a"), "shared")
     classes = materialise(
         found.groupBy("anchor", "class").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.min(F.struct("id", "key", "first")).alias("r")), "classes"
