@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: each node hands its smallest
     neighbour to its larger ones, then to its smaller ones. Either is an
     aggregate with a map-side part and a join that may be split, so a node with
-    a third of all links is no task of its own; rounds grow with the logarithm
+    a third of all links is no task of its own (the aggregate is written first:
+    joined in its own stage, it would keep that node's links together); rounds grow with the logarithm
     of the components' extent. Every round is written to the scratch folder.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
@@ -23,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("m", F.least("n", "m"))
+        least = materialise(least, "least")
         large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "links")
         least = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
