@@ -32,7 +32,7 @@ def default_tokenizer() -> str:
 class Encoder(dict):
     """Encodes texts part by part and remembers short parts in two generations of ``room`` each."""
 
-    def __init__(self, path: str, room: int = 600_000, longest: int = 40):
+    def __init__(self, path: str, room: int = 200_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
