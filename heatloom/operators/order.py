@@ -159,11 +159,13 @@ def _large_quantiles(
 def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: int = 64) -> DataFrame:
     """``<col>_percentile`` = count(values <= value) / (n - 1) for each column.
 
-    One row per ``ids`` is expected. Constant columns, single rows and null
+    Every row comes back, also where ``ids`` repeat. Constant columns, single rows and null
     values give 0. Equal values are counted before anything is sorted; sorted
     runs are cut at approximate quantiles of the distinct values.
     """
-    ids, cols = list(ids), list(cols)
+    named, ids, cols = list(ids), [*ids, "_row"], list(cols)
+    # Numbered once and written, so that a row keeps its number in every scan.
+    df = materialise(df.select(*named, *cols).withColumn("_row", F.monotonically_increasing_id()), "ranked-rows")
     long = _unpivot(df, ids, cols)
     counts = long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count("*").alias("_n"))
     counts = materialise(counts, "value-counts")
@@ -194,7 +196,7 @@ def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: in
         .pivot("variable", cols)
         .agg(F.coalesce(F.max("_rank"), F.lit(0.0)))
     )
-    return wide.select(*ids, *[F.col(c).alias(f"{c}_percentile") for c in cols])
+    return wide.select(*named, *[F.col(c).alias(f"{c}_percentile") for c in cols])
 
 
 def minmax_01(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -6,7 +6,9 @@ Boxes are listed under each bucket they touch, so a point needs one lookup.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,14 +201,39 @@ def _match_polygons(points: DataFrame, x: str, y: str, polys: DataFrame, reach:
     return _bucket_join(spots, boxes, salts=4, weight=F.size("_edges"))
 
 
+# Steps around a point on a border: far below any map's resolution, far above
+# the rounding of its coordinates.
+STEP = 2.0**-24
+AROUND = [(math.cos(math.pi * (k + 0.5) / 8), math.sin(math.pi * (k + 0.5) / 8)) for k in range(16)]
+ALL_SIDES = 2 ** len(AROUND) - 1
+
+
+def _sides_inside(x: Column, y: Column) -> Column:
+    """One bit for each direction: whether the ring holds the spot a step away.
+    Only a point on the ring itself is looked at from all sides."""
+    step = F.lit(STEP) * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
+    bits = [F.when(_ray_cast(x + step * F.lit(dx), y + step * F.lit(dy)), F.lit(1 << k)).otherwise(0) for k, (dx, dy) in enumerate(AROUND)]
+    every = F.when(_ray_cast(x, y), F.lit(ALL_SIDES)).otherwise(0)
+    return F.when(_on_edge(x, y), reduce(lambda a, b: a + b, bits)).otherwise(every)
+
+
+def _in_union(matched: DataFrame, x: str, y: str, *more: Column) -> DataFrame:
+    """Per point: ``_inside`` the dissolved polygons. Rings of one polygon cut
+    holes into each other (even-odd), and a point on a border that two polygons
+    share has one of them on every side."""
+    sides = matched.groupBy(x, y, "poly_id").agg(F.bit_xor(_sides_inside(F.col(x), F.col(y))).alias("_sides"), *more)
+    kept = [F.min(c).alias(c) for c in sides.columns if c not in (x, y, "poly_id", "_sides")]
+    return sides.groupBy(x, y).agg((F.bit_or("_sides") == ALL_SIDES).alias("_inside"), *kept)
+
+
 def within_polygon(df: DataFrame, x: str, y: str, polys: DataFrame, bucket: float = 0.1) -> DataFrame:
-    """Rows strictly inside any ring; points on a border are out.
+    """Rows strictly inside the dissolved polygons: holes are out, and so are
+    points on an outer border.
 
     The test runs once per distinct coordinate. The matching coordinates are
     written out, so a short list is broadcast and the rows are not shuffled.
     """
-    px, py = F.col(x), F.col(y)
-    hits = _match_polygons(df, x, y, polys, 0.0, bucket).where(_ray_cast(px, py) & ~_on_edge(px, py))
+    hits = _in_union(_match_polygons(df, x, y, polys, 0.0, bucket), x, y).where("_inside")
     return df.join(materialise(hits.select(x, y).distinct(), "inside"), [x, y], "left_semi")
 
 
@@ -214,12 +241,12 @@ def within_distance_of_polygon(
     df: DataFrame, x: str, y: str, polys: DataFrame, distance: float,
     region: DataFrame | None = None, bucket: float = 5000.0,
 ) -> DataFrame:
-    """Rows inside a ring or at most ``distance`` from its border, and inside
+    """Rows inside the dissolved polygons or at most ``distance`` from its border, and inside
     the region. Everything in the same metric projection."""
     px, py = F.col(x), F.col(y)
-    near = _match_polygons(df, x, y, polys, distance, bucket).where(
-        _ray_cast(px, py) | (_edge_distance(px, py) <= F.lit(float(distance)))
-    )
+    matched = _match_polygons(df, x, y, polys, distance, bucket)
+    near = _in_union(matched, x, y, F.min(_edge_distance(px, py)).alias("_far"))
+    near = near.where(F.col("_inside") | (F.col("_far") <= F.lit(float(distance))))
     kept = df.join(materialise(near.select(x, y).distinct(), "near"), [x, y], "left_semi")
     return kept if region is None else within_polygon(kept, x, y, region, bucket)
 

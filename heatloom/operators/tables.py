@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.weather import nan_to_null
+
 # About 10 MB of narrow rows, Spark's own default bound for a broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -126,6 +128,11 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
+def nan_columns_to_null(df: DataFrame) -> DataFrame:
+    """NaN in any floating-point column becomes null."""
+    return df.withColumns({c: nan_to_null(F.col(c)) for c, t in df.dtypes if t in ("float", "double")})
+
+
 def append_aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both; a column missing on one side is null there."""
     return a.unionByName(b, allowMissingColumns=True)

@@ -11,7 +11,7 @@ from ..functions.solar import sun_position, with_radiation
 from ..functions.weather import kelvin_to_celsius, relative_humidity, wind_direction, wind_speed
 from ..operators.neighbours import longest_series
 from ..operators.series import harmonise_series
-from ..operators.tables import attach_coords, drop_nulls, join_variables, rename_present
+from ..operators.tables import attach_coords, drop_nulls, join_variables, nan_columns_to_null, rename_present
 
 # Raw name to harmonised name.
 HISTORY_VARIABLES = {
@@ -69,7 +69,7 @@ def history_weather(df: DataFrame, batch_col: str | None = None, circular_wind:
     are counted on the two coordinate columns alone.
     """
     cut.setdefault("longest", longest_series(df, ["latitude", "longitude"]))
-    raw = drop_nulls(df).drop(*HISTORY_EXTRAS)
+    raw = drop_nulls(nan_columns_to_null(df)).drop(*HISTORY_EXTRAS)
     named = rename_present(raw, {"valid_time": "time", **HISTORY_VARIABLES})
     named = named.withColumn("time", to_time(F.col("time")))
     celsius = {c: kelvin_to_celsius(F.col(c)) for c in ("soilTemperature", "dewAirTemperature", "airTemperature")}
@@ -89,7 +89,7 @@ def forecast_weather(df: DataFrame, batch_col: str | None = None, circular_wind:
     """Wide raw forecast rows (with coordinates) to the harmonised table."""
     named = rename_present(df.drop("index"), FORECAST_VARIABLES)
     cut.setdefault("longest", longest_series(named, ["latitude", "longitude"]))
-    named = drop_nulls(named)
+    named = drop_nulls(nan_columns_to_null(named))
     named = named.withColumn("time", to_time(F.col("time")))
     derived = _with_station(_with_wind(named)).withColumn(
         "airTemperature", kelvin_to_celsius(F.col("airTemperature"))

@@ -38,13 +38,16 @@ def get_spark(app: str = "heatloom", **conf: str) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a temporary folder is used.
+    Only a single-machine session may leave that unset; it gets a temporary
+    folder. On a cluster each executor would write to a disk of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _local_scratch[app] = tempfile.mkdtemp(prefix="heatloom-")
     return _local_scratch[app]
 
@@ -52,8 +55,12 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch root; never reused between calls. One
     folder per application holds all of them, so it can be removed afterwards."""
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/heatloom-{app}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{scratch_root(spark)}/heatloom-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(place):
+        files.deleteOnExit(place)  # with the driver's JVM
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

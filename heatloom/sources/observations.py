@@ -57,22 +57,25 @@ KEYS = ["station_id", "datetime"]
 # Where a row came from; the later arrival of a duplicate wins.
 ARRIVAL = ["_file_time", "_file", "_pos"]
 
-RECORD = T.StructType(
-    [T.StructField(c, T.StringType() if c in TEXT_FIELDS else T.DoubleType()) for c in OBSERVATION_COLUMNS]
-)
+# Every field is read as text: one value of another type must not cost the file.
+RECORD = T.StructType([T.StructField(c, T.StringType()) for c in OBSERVATION_COLUMNS])
 FILE_SCHEMA = T.StructType(
     [T.StructField("data", T.ArrayType(RECORD)), T.StructField("_corrupt_record", T.StringType())]
 )
 
 
 def _records(files: DataFrame) -> DataFrame:
-    """Exploded records; malformed files and files without data give no rows."""
+    """Exploded records; documents that do not parse and those without data
+    give no rows, and a number that is none becomes null."""
+    fields = [
+        F.col(f"_rec.{c}") if c in TEXT_FIELDS else F.col(f"_rec.{c}").try_cast("double").alias(c) for c in OBSERVATION_COLUMNS
+    ]
     return (
         files.withColumns({"_file": F.col("_metadata.file_path"),
                            "_file_time": F.col("_metadata.file_modification_time")})
         .where(F.col("_corrupt_record").isNull())
         .select("_file", "_file_time", F.posexplode("data").alias("_pos", "_rec"))
-        .select("_rec.*", *ARRIVAL)
+        .select(*fields, *ARRIVAL)
     )
 
 

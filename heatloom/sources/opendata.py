@@ -16,13 +16,39 @@ UPDATED = ":updated_at"
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV pages with every column as text."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """CSV pages with every column as text; missing columns are null.
+
+    Quotes are doubled inside quoted values, which may hold line breaks. Pages
+    of a folder are read in one scan for each distinct header, by name.
+    """
+    return read_pages(spark, [path])
+
+
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files below a path by their first line; only that line is read here."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    found: dict[str, list[str]] = {}
+    for root in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path)) or []:
+        for status in fs.listStatus(root.getPath()):
+            name = status.getPath().getName()
+            if status.isFile() and not name.startswith(("_", ".")):
+                reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
+                found.setdefault(reader.readLine() or "", []).append(status.getPath().toString())
+                reader.close()
+    return found
 
 
 def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Pages whose columns may differ; missing columns are null."""
-    return reduce(append_aligned, [read_csv_strings(spark, p) for p in paths])
+    groups: dict[str, list[str]] = {}
+    for path in paths:
+        for header, files in _headers(spark, path).items():
+            groups.setdefault(header, []).extend(files)
+    groups = {h: f for h, f in groups.items() if h} or groups
+    options = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": True}
+    scans = [spark.read.options(**options).csv(files) for files in groups.values()] or [spark.read.options(**options).csv(paths)]
+    return reduce(append_aligned, scans)
 
 
 def latest_records(df: DataFrame) -> DataFrame:

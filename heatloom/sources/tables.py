@@ -6,11 +6,10 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.clock import year_month
 from ..operators.dedup import dedup_keep_first
-from ..operators.tables import join_variables
+from ..operators.tables import join_variables, nan_columns_to_null
 
 
 def month_sequence(first: Column, last: Column) -> Column:
@@ -61,9 +60,10 @@ def read_weather(spark: SparkSession, root: str, variables: Sequence[str], years
 
 
 def read_gridded(spark: SparkSession, path_by_var: Mapping[str, str], keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """One long table ``(keys…, value)`` per variable, joined to a wide table."""
+    """One long table ``(keys…, value)`` per variable, joined to a wide table;
+    NaN becomes null."""
     tables = [
-        spark.read.parquet(p).select(*keys, F.col("value").alias(v)) for v, p in path_by_var.items()
+        nan_columns_to_null(spark.read.parquet(p)).select(*keys, F.col("value").alias(v)) for v, p in path_by_var.items()
     ]
     return join_variables(tables, keys, how)
 
@@ -85,11 +85,10 @@ def split_by(df: DataFrame, col: str, root: str) -> None:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
+    """Whether the folder is there, complete or not: a write under way is not
+    taken for an absent table, and reading it fails instead."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def get_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
