@@ -8,7 +8,6 @@ from ..functions import clock
 from ..operators import model, order
 from ..plans import downscale, harmonise
 from . import views as v
-from .timeseries import CUT
 from .basics import DISC_CTE, SUN_CTE
 from .registry import query, r6, rounded, sql_r6
 
@@ -52,7 +51,7 @@ SELECT time, weatherStation, ndvi_mean, round(elevation, 6) AS elevation, {', '.
  round(sin(2 * pi() * hour(time) / 24), 6) + 0.0::double AS hour_1_sin, CAST(split_part(weatherStation, '_', 1) AS DOUBLE) AS latitude FROM wide, cellgrid""")
 def _(s, d):
     lr, static = _hourly(s, d), _cells(s, d)
-    f = model.grid_features(lr, static, VARS, STATIONS, 1, shards=8)
+    f = model.grid_features(lr, static, VARS, STATIONS, 1)
     out = f.select(
         "time", "weatherStation", "ndvi_mean", r6("elevation").alias("elevation"),
         *[F.coalesce(F.round(c, 6), F.lit(-99.0)).alias(c) for c in FEATURE_NAMES], r6("hour_1_sin").alias("hour_1_sin"), "latitude",
@@ -129,7 +128,7 @@ def _(s, d):
 def _(s, d):
     hr, lr, static = _training(s, d)
     fitted, _, lr_stats, hr_stats = downscale.fit_downscaling(hr, lr, static, VARS, STATIONS, PARAMS, validation_hours=50, n_harmonics=2)
-    return downscale.predict_grid(fitted, lr, static, lr_stats, hr_stats, VARS, STATIONS, 2, shards=8)
+    return downscale.predict_grid(fitted, lr, static, lr_stats, hr_stats, VARS, STATIONS, 2)
 
 
 def _hist_sql() -> str:
@@ -152,7 +151,7 @@ HIST_OUT = [c for c in harmonise.HISTORY_MEANS if c not in ("windDirection",)] +
 
 @query("m8_history_weather", f"{_hist_sql()} SELECT event_id, weatherStation, time, {', '.join(f'round({c}, 5) + 0.0::double AS {c}' for c in HIST_OUT + ['windDirection'])}, round(sunElevation, 4) + 0.0::double AS sunElevation, round(sunAzimuth, 4) + 0.0::double AS sunAzimuth, round(DNI, 3) + 0.0::double AS DNI, round(DHI, 3) + 0.0::double AS DHI FROM sun")
 def _(s, d):
-    out = harmonise.history_weather(v.raw(s, d), **CUT)
+    out = harmonise.history_weather(v.raw(s, d))
     five = {c: F.round(c, 5) + 0.0 for c in HIST_OUT + ["windDirection"]}
     four = {c: F.round(c, 4) + 0.0 for c in ("sunElevation", "sunAzimuth")}
     three = {c: F.round(c, 3) + 0.0 for c in ("DNI", "DHI")}
@@ -171,7 +170,7 @@ def _(s, d):
     raw = v.raw(s, d).selectExpr(
         "event_id", "valid_time AS time", "latitude AS lat", "longitude AS lon", "u10 AS u", "v10 AS v", "t2m AS temp", "fal AS rh", "tp AS prec", "ssrd / 3600 AS swflx"
     )
-    out = harmonise.forecast_weather(raw, **CUT)
+    out = harmonise.forecast_weather(raw)
     five = {c: F.round(c, 5) + 0.0 for c in harmonise.FORECAST_MEANS}
     three = {c: F.round(c, 3) + 0.0 for c in ("DNI", "DHI")}
     return out.withColumns(five | three | {"totalPrecipitation": F.round("totalPrecipitation", 6)}).select(

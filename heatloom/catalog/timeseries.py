@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup, model, order, series, tables
-from ..operators.neighbours import HOUR, mark_ends
+from ..operators.neighbours import mark_ends
 from . import views as v
 from .registry import query, r6, rounded, sql_r6
 
-# Few stations share all events here, and many fall into an hour: series of more
-# than a thousand rows are cut by the hour, so both ways of finding neighbours run.
-CUT = {"bucket_seconds": HOUR, "whole_series": 1000}
 BATCH = "(dayofyear(time) - 1) // 7"
 W = "OVER (PARTITION BY weatherStation ORDER BY time)"
 WB = "OVER (PARTITION BY weatherStation, batch ORDER BY time)"
@@ -35,7 +32,7 @@ RAW_SERIES = v.RAW + f""", s AS (
 SELECT event_id, weatherStation, round(CASE WHEN nx IS NULL THEN a ELSE (na + a) / 2 END, 6) + 0.0::double AS airTemperature,
        round(CASE WHEN nx IS NULL THEN h ELSE (nh + h) / 2 END, 6) + 0.0::double AS relativeHumidity FROM n""")
 def _(s, d):
-    out = series.interval_mean(v.wx(s, d), ["airTemperature", "relativeHumidity"], **CUT)
+    out = series.interval_mean(v.wx(s, d), ["airTemperature", "relativeHumidity"])
     return rounded(out.drop("time"), "airTemperature", "relativeHumidity")
 
 
@@ -44,7 +41,7 @@ def _(s, d):
 SELECT event_id, weatherStation, round(CASE WHEN nx IS NULL THEN a ELSE (na + a) / 2 END, 6) + 0.0::double AS airTemperature FROM n""")
 def _(s, d):
     weekly = v.wx(s, d).withColumn("batch", F.expr("(dayofyear(time) - 1) div 7"))
-    out = series.interval_mean(weekly, ["airTemperature"], batch_col="batch", **CUT)
+    out = series.interval_mean(weekly, ["airTemperature"], batch_col="batch")
     return rounded(out.select("event_id", "weatherStation", "airTemperature"), "airTemperature")
 
 
@@ -55,7 +52,7 @@ def _(s, d):
 SELECT event_id, weatherStation, round(CASE WHEN x < 0 THEN x + 360 ELSE x END, 4) % 360 + 0.0::double AS dir FROM m""")
 def _(s, d):
     directed = v.wx(s, d).withColumn("dir", F.expr("CAST((event_id * 37) % 360 AS DOUBLE)"))
-    out = series.interval_mean(directed, ["dir"], circular=["dir"], **CUT)
+    out = series.interval_mean(directed, ["dir"], circular=["dir"])
     return out.select("event_id", "weatherStation", (F.round("dir", 4) % 360 + 0.0).alias("dir"))
 
 
@@ -63,7 +60,7 @@ def _(s, d):
   SELECT event_id, GHI, lag(event_id) {W} AS p, lead(event_id) {W} AS nx, (lead(GHI) {W} - GHI) / 3600 AS f FROM s)
 SELECT event_id, round(CASE WHEN p IS NOT NULL AND nx IS NOT NULL AND f > 0 THEN f ELSE 0 END, 6) + 0.0::double AS GHI FROM n""")
 def _(s, d):
-    return rounded(series.deaccumulate_radiation(_raw_series(s, d), **CUT).select("event_id", "GHI"), "GHI")
+    return rounded(series.deaccumulate_radiation(_raw_series(s, d)).select("event_id", "GHI"), "GHI")
 
 
 @query("w3_deaccumulate_rain", f"""WITH {RAW_SERIES}, n AS (
@@ -72,7 +69,7 @@ def _(s, d):
   SELECT *, lag(rain) {W} AS before FROM r)
 SELECT event_id, round(CASE WHEN rain >= 0 THEN rain ELSE before END, 6) + 0.0::double AS rain FROM q""")
 def _(s, d):
-    out = series.deaccumulate_rain(_raw_series(s, d), **CUT)
+    out = series.deaccumulate_rain(_raw_series(s, d))
     return out.select("event_id", r6("totalPrecipitation").alias("rain"))
 
 
@@ -83,7 +80,7 @@ def _(s, d):
 SELECT event_id, round(CASE WHEN rain >= 0 THEN rain ELSE before END, 6) + 0.0::double AS rain FROM q""")
 def _(s, d):
     weekly = _raw_series(s, d).withColumn("batch", F.expr("(dayofyear(time) - 1) div 7"))
-    out = series.deaccumulate_rain(weekly, batch_col="batch", fix_last_unit=True, **CUT)
+    out = series.deaccumulate_rain(weekly, batch_col="batch", fix_last_unit=True)
     return out.select("event_id", r6("totalPrecipitation").alias("rain"))
 
 
@@ -117,14 +114,14 @@ def _(s, d):
 
 @query("w9_first_last_rows", f"""WITH {v.WX} SELECT event_id, lag(event_id) {W} IS NULL AS is_first, lead(event_id) {W} IS NULL AS is_last FROM wx""")
 def _(s, d):
-    return mark_ends(v.wx(s, d), ["weatherStation"], "time", **CUT).select("event_id", "is_first", "is_last")
+    return mark_ends(v.wx(s, d), ["weatherStation"], "time").select("event_id", "is_first", "is_last")
 
 
 @query("o1_row_order_in_series", f"""WITH {v.WX} SELECT event_id, coalesce(lag(event_id) {W}, -1) AS before, coalesce(lead(event_id) {W}, -1) AS after FROM wx""")
 def _(s, d):
     from ..operators.neighbours import with_neighbours
 
-    n = with_neighbours(v.wx(s, d), ["weatherStation"], "time", ["event_id"], **CUT)
+    n = with_neighbours(v.wx(s, d), ["weatherStation"], "time", ["event_id"])
     return n.select("event_id", F.coalesce("_prev_event_id", F.lit(-1)).alias("before"),
                     F.coalesce("_next_event_id", F.lit(-1)).alias("after"))
 

@@ -83,7 +83,7 @@ def cell_bounds(x: Column, y: Column, size: float, shape: str = "square") -> Col
     its bounding box.
     """
     if shape not in ("square", "circle"):
-        raise ValueError(f"unknown cell shape {shape!r}")
+        raise ValueError(f"a cell is a square or a circle, not {shape!r}")
     half = F.lit(size / 2 if shape == "square" else float(size))
     return F.struct(
         (x - half).alias("x0"), (x + half).alias("x1"), (y - half).alias("y0"), (y + half).alias("y1")

@@ -13,7 +13,7 @@ from ..functions.weather import to_percent
 from ..session import materialise
 from .series import rolling_min
 from .spatial import nearest
-from .tables import BROADCAST_ROWS, isin_keys, label_keys
+from .tables import isin_keys, label_keys
 
 # Axes of the lookup surface (degrees Celsius, percent).
 TDB_RANGE = (-20, 60)
@@ -26,6 +26,9 @@ ROTHFUSZ = [
     -0.05481717, 0.00122874, 0.00085282, -0.00000199,
 ]
 
+# A surface of up to this many cells (known from its axes, about 10 MB) is broadcast.
+SURFACE_CELLS = 200_000
+
 # Flag thresholds.
 HEAT_WAVE_DAYS = 3
 HEAT_WAVE_LIMIT = 33
@@ -92,7 +95,7 @@ def bilinear(
     nx, ny = x_range[1] - x_range[0] + 1, y_range[1] - y_range[0] + 1
     # One row per unit cell of the surface: the axes bound the size.
     cells = _lookup_cells(lookup, nx, ny, x_range[0], y_range[0], z)
-    if (nx - 1) * (ny - 1) <= BROADCAST_ROWS:
+    if (nx - 1) * (ny - 1) <= SURFACE_CELLS:
         cells = F.broadcast(cells)
 
     def cell(v: Column, n: int) -> Column:

@@ -1,15 +1,13 @@
 """Values of the previous and next row of every series, however long.
 
-``lag``/``lead`` over ``partitionBy(station)`` puts a whole station into one
-task. That is right while the longest series is short, so its length is counted
-first (a partial aggregate of the key columns). Beyond the bound a series is cut
-into time buckets: the rows are shuffled by (series, bucket), and only the first
-and last row of each bucket travel further to bridge the cuts. Bridging is done
-twice, with a coarse bucket the second time, so the last window sees one row per
-coarse bucket.
-
-The input is read once for the count and, on the long way, once for the bucket
-ends; write out an input that is itself the result of large joins.
+``lag``/``lead`` over ``partitionBy(station)`` would put a whole station into
+one task. Here a series is cut into time buckets: the rows are shuffled by
+(series, bucket), and only the first and last row of each bucket travel further
+to bridge the cuts. Bridging is done twice, with a coarse bucket the second
+time, so the last window sees one row per coarse bucket.
+
+The input is read once for the rows and once for the bucket ends; write out an
+input that is itself the result of large joins.
 """
 
 from __future__ import annotations
@@ -22,8 +20,6 @@ from pyspark.sql import functions as F
 HOUR = 3600
 DAY = 24 * HOUR
 WEEK = 7 * DAY
-# The longest series that is left to one task: over a century of hours.
-WHOLE_SERIES = 1_000_000
 # Buckets of the first level that share one bucket of the second level.
 BUCKETS_PER_COARSE = 1000
 
@@ -33,11 +29,6 @@ def time_bucket(time: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(time.cast("timestamp")) / F.lit(seconds))
 
 
-def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-
-
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,24 +36,16 @@ def with_neighbours(
     cols: Sequence[str] = (),
     tie: Sequence[str] = (),
     bucket_seconds: int = WEEK,
-    whole_series: int = WHOLE_SERIES,
-    longest: int | None = None,
 ) -> DataFrame:
     """Adds ``_prev_<c>`` and ``_next_<c>`` for the time, the tie columns and
     ``cols``: the values of the row before / after in its series, null at the
     ends. ``_first_<c>`` holds time and tie columns of the first row.
 
     ``keys`` and ``time`` must not be null. Choose ``bucket_seconds`` so that a
-    bucket of the longest series fits a task. Neither it nor ``whole_series``
-    changes the result. ``longest`` is a known bound on the rows of a series;
-    without it they are counted.
+    bucket of the densest series fits a task; it does not change the result.
     """
     keys, order = list(keys), [time, *tie]
     carried = [*order, *[c for c in cols if c not in order]]
-    if longest is None:
-        longest = longest_series(df, keys)
-    if longest <= whole_series:
-        return _in_one_window(df, keys, order, carried)
     return _over_buckets(df, keys, order, carried, bucket_seconds)
 
 
@@ -71,12 +54,6 @@ def _shifted(carried: list[str], window) -> dict[str, Column]:
     return after | {f"_prev_{c}": F.lag(c).over(window) for c in carried}
 
 
-def _in_one_window(df: DataFrame, keys: list[str], order: list[str], carried: list[str]) -> DataFrame:
-    series = Window.partitionBy(*keys).orderBy(*order)
-    first = {f"_first_{c}": F.first(c).over(series) for c in order}
-    return df.withColumns(_shifted(carried, series) | first)
-
-
 def _over_buckets(
     df: DataFrame, keys: list[str], order: list[str], carried: list[str], bucket_seconds: int
 ) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,9 +58,17 @@ def _unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFram
     )
 
 
-# Groups up to this many rows use the built-in exact percentile, which keeps
-# the distinct values of a group in memory.
-SMALL_GROUP = 100_000
+# Buckets for each doubling of a value: one holds at most 2,048 distinct numbers
+# of single precision.
+BUCKETS_PER_DOUBLING = 4096
+LEAST_EXPONENT = -1100  # below that of the smallest positive double
+
+
+def _magnitude_bucket(v: Column) -> Column:
+    """A whole number that never falls while the value grows: its sign and cut logarithm."""
+    size = F.log2(F.least(F.abs(v), F.lit(sys.float_info.max))) - F.lit(float(LEAST_EXPONENT))
+    bucket = F.floor(size * F.lit(float(BUCKETS_PER_DOUBLING)))
+    return F.when(v == 0, F.lit(0)).when(v > 0, bucket).otherwise(-bucket)
 
 
 def quantile_stats(
@@ -66,94 +77,50 @@ def quantile_stats(
     lo: float = 0.05,
     hi: float = 0.95,
     keys: Sequence[str] = ("weatherStation",),
-    accuracy: int = 10000,
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key and variable, long form
     ``(keys…, variable, q05, q95)``. Null and NaN are skipped.
 
-    Group sizes are counted first and written out. Only groups larger than
-    ``small_group`` take the slower way that never holds a group's values.
+    Rows are counted per bucket of magnitude, with a map-side part. The running
+    counts tell which buckets hold the wanted ranks, and only the distinct
+    values of those (two to four of each group) are sorted. The input is read
+    twice; write out one that is itself the result of large joins.
     """
-    keys = list(keys)
-    clean = df.select(*keys, *[F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in variables])
-    sizes = materialise(clean.groupBy(*keys).agg(F.count("*").alias("_rows")), "group-sizes")
-    large = sizes.where(F.col("_rows") > small_group).select(*keys)
-    if not large.limit(1).count():
-        return _small_quantiles(clean, variables, lo, hi, keys)
-    small = sizes.where(F.col("_rows") <= small_group).select(*keys)
-    parts = [
-        _small_quantiles(clean.join(small, keys, "left_semi"), variables, lo, hi, keys),
-        _large_quantiles(clean.join(large, keys, "left_semi"), variables, lo, hi, keys, accuracy),
-    ]
-    return parts[0].unionByName(parts[1])
-
-
-def _small_quantiles(clean: DataFrame, variables: Sequence[str], lo: float, hi: float, keys: list[str]) -> DataFrame:
-    wide = clean.groupBy(*keys).agg(*[F.percentile(v, [lo, hi]).alias(v) for v in variables])
-    return (
-        wide.unpivot(keys, list(variables), "variable", "_q").where(F.col("_q").isNotNull())
-        .select(*keys, "variable", F.col("_q")[0].alias("q05"), F.col("_q")[1].alias("q95"))
-    )
-
+    keys, v = list(keys), F.col("value")
+    clean = df.select(*keys, *[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in variables])
+    long = _unpivot(clean, keys, variables).where(v.isNotNull()).withColumn("_bucket", _magnitude_bucket(v))
+    group = [*keys, "variable"]
+    steps = [(name, p, step) for name, p in (("lo", lo), ("hi", hi)) for step in (0, 1)]
 
-def _large_quantiles(
-    clean: DataFrame, variables: Sequence[str], lo: float, hi: float, keys: list[str], accuracy: int
-) -> DataFrame:
-    """A mergeable sketch brackets each quantile; a second pass counts exactly
-    what lies below, inside and above the brackets, keeping only inside values
-    apart; the wanted ranks are then found among those."""
-    margin = 4.0 / accuracy
-    probs = [min(1.0, max(0.0, p + s * margin)) for p in (lo, hi) for s in (-1, 1)]
-    low, high = F.lit(float("-inf")), F.lit(float("inf"))
-    # The sketch is written out: its true size then decides how it is joined,
-    # and the second pass does not repeat the first. Variables with too few
-    # values for the error bound to cover a rank keep all of them.
-    sketch = clean.groupBy(*keys).agg(
-        *[
-            F.when(F.count(v) <= accuracy, F.array(low, high, high, high))
-            .otherwise(F.percentile_approx(v, probs, accuracy)).alias(f"_q_{v}")
-            for v in variables
-        ]
-    )
-    brackets = materialise(sketch, "quantile-brackets")
-    pairs = [
-        F.struct(F.lit(v).alias("variable"), F.col(v).alias("value"), F.col(f"_q_{v}").alias("_q")) for v in variables
-    ]
-    long = clean.join(brackets, keys).select(*keys, F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
-
-    # Zones in value order: 0 below, 1 lower bracket, 2 between, 3 upper
-    # bracket, 4 above. Only zones 1 and 3 keep single values.
-    v, q = F.col("value"), F.col("_q")
-    zone = (
-        F.when(v < q[0], 0).when(v <= q[1], 1).when(v < q[2], 2).when(v <= q[3], 3).otherwise(4)
+    def has_rank(p: float, step: int) -> Column:
+        k = F.least(F.floor(F.lit(p) * (F.col("_t") - 1)) + step, F.col("_t") - 1)
+        return (F.col("_c") > k) & (F.col("_c") - F.col("_n") <= k)
+
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counts = long.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    running = counts.withColumns({"_c": F.sum("_n").over(upto), "_t": F.sum("_n").over(whole)})
+    wanted = running.where(reduce(or_, [has_rank(p, step) for _, p, step in steps])).select(
+        *[F.col(c).alias(f"_w{i}") for i, c in enumerate([*group, "_bucket"])],
+        (F.col("_c") - F.col("_n")).alias("_before"), "_t",
     )
-    counts = (
-        long.select(*keys, "variable", zone.alias("_zone"), "value")
-        .withColumn("_v", F.when(F.col("_zone").isin(1, 3), v))
-        .groupBy(*keys, "variable", "_zone", "_v").agg(F.count("*").alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate([*group, "_bucket"])]
+    inside = (
+        long.join(wanted, reduce(and_, same))
+        .groupBy(*group, "_bucket", "value").agg(F.count("*").alias("_n"), F.first("_before").alias("_before"), F.first("_t").alias("_t"))
     )
-    group = Window.partitionBy(*keys, "variable")
-    upto = group.orderBy("_zone", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumns({"_c": F.sum("_n").over(upto), "_t": F.sum("_n").over(group)})
-
-    def rank_value(p: float, step: int) -> Column:
-        k = F.least(F.floor(F.lit(p) * (F.col("_t") - 1)) + step, F.col("_t") - 1)
-        hit = (F.col("_c") > k) & (F.col("_c") - F.col("_n") <= k)
-        # A hit outside the brackets would break the sketch's error bound.
-        missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
-        return F.max(F.when(hit & F.col("_v").isNotNull(), F.col("_v")).when(hit, missed))
-
-    found = cum.groupBy(*keys, "variable").agg(
-        F.max("_t").alias("_t"),
-        *[rank_value(p, s).alias(f"_{n}{s}") for n, p in (("lo", lo), ("hi", hi)) for s in (0, 1)],
+    within = Window.partitionBy(*group, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_c", F.col("_before") + F.sum("_n").over(within))
+    found = ranked.groupBy(*group).agg(
+        F.max("_t").alias("_t"), *[F.max(F.when(has_rank(p, step), v)).alias(f"_{n}{step}") for n, p, step in steps]
     )
 
     def blend(n: str, p: float) -> Column:
         pos = F.lit(p) * (F.col("_t") - 1)
-        return F.col(f"_{n}0") + (F.col(f"_{n}1") - F.col(f"_{n}0")) * (pos - F.floor(pos))
+        low, high = F.col(f"_{n}0"), F.col(f"_{n}1")
+        return F.when(low == high, low).otherwise(low + (high - low) * (pos - F.floor(pos)))
 
-    return found.select(*keys, "variable", blend("lo", lo).alias("q05"), blend("hi", hi).alias("q95"))
+    return found.select(*group, blend("lo", lo).alias("q05"), blend("hi", hi).alias("q95"))
 
 
 def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: int = 64) -> DataFrame:

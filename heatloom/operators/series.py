@@ -135,15 +135,12 @@ def nearest_time(df: DataFrame, moment: str, time: str = "time") -> DataFrame:
 def densify(df: DataFrame, time: str = "time", station: str = "weatherStation") -> DataFrame:
     """Every observed time for every observed station; holes become null rows.
 
-    Stations are spread over the days between the first and last time and meet
-    the times of that day by an equi-join, so work is split by day.
+    Stations are spread over the days that occur and meet the times of that day
+    by an equi-join, so work is split by day.
     """
     day = F.to_date(time)
     times = df.select(time).distinct().withColumn("_day", day)
-    span = df.agg(F.struct(F.min(day).alias("a"), F.max(day).alias("b")).alias("s"))
-    stations = df.select(station).distinct().withColumn("_s", span.scalar())
-    station_days = stations.select(
-        station, F.explode(F.sequence(F.col("_s.a"), F.col("_s.b"))).alias("_day")
-    )
+    days = df.agg(F.collect_set(day).alias("days")).scalar()
+    station_days = df.select(station).distinct().select(station, F.explode(days).alias("_day"))
     frame = station_days.join(times, "_day").select(time, station)
     return frame.join(df, [time, station], "left")

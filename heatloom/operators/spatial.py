@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import euclid, to_utm
 from ..session import materialise
-from .tables import broadcast_if_small
 
 
 def _span(lo: Column, hi: Column, size: float) -> Column:
@@ -32,20 +31,15 @@ def _bucket_points(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     )
 
 
-def _bucket_join(points: DataFrame, boxes: DataFrame, salts: int, weight: Column | None = None) -> DataFrame:
-    """Points meet boxes of their bucket. Beyond the broadcast bound, points of
-    a crowded bucket are spread over ``salts`` copies of its boxes."""
-    hinted = broadcast_if_small(boxes, weight)
-    if hinted is not boxes:
-        return points.join(hinted, ["_bx", "_by"]).drop("_bx", "_by")
-    salted = points.withColumn("_s", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
-    copies = boxes.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["_bx", "_by", "_s"]).drop("_bx", "_by", "_s")
+def _bucket_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points meet boxes of their bucket. Spark broadcasts the boxes or splits a
+    crowded bucket's points by the sizes it measures."""
+    return points.join(boxes, ["_bx", "_by"]).drop("_bx", "_by")
 
 
 def points_in_cells(
     points: DataFrame, cells: DataFrame, half: float, px: str = "px", py: str = "py",
-    cx: str = "x", cy: str = "y", shape: str = "square", salts: int = 16,
+    cx: str = "x", cy: str = "y", shape: str = "square",
 ) -> DataFrame:
     """Points with the cells that strictly contain them (inner pairs).
 
@@ -54,7 +48,7 @@ def points_in_cells(
     size = 2.0 * half
     h = F.lit(float(half))
     boxes = _bucket_boxes(cells, F.col(cx) - h, F.col(cx) + h, F.col(cy) - h, F.col(cy) + h, size)
-    pairs = _bucket_join(_bucket_points(points, px, py, size), boxes, salts)
+    pairs = _bucket_join(_bucket_points(points, px, py, size), boxes)
     dx, dy = F.col(px) - F.col(cx), F.col(py) - F.col(cy)
     if shape == "circle":
         return pairs.where(dx * dx + dy * dy < h * h)
@@ -198,7 +192,7 @@ def _match_polygons(points: DataFrame, x: str, y: str, polys: DataFrame, reach:
     y0, y1 = F.array_min("ys") - r, F.array_max("ys") + r
     boxes = _bucket_boxes(rings, x0, x1, y0, y1, bucket).drop("xs", "ys")
     spots = _bucket_points(points.select(x, y).distinct(), x, y, bucket)
-    return _bucket_join(spots, boxes, salts=4, weight=F.size("_edges"))
+    return _bucket_join(spots, boxes)
 
 
 # Steps around a point on a border: far below any map's resolution, far above

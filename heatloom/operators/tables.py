@@ -10,22 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.weather import nan_to_null
 
-# About 10 MB of narrow rows, Spark's own default bound for a broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, weight: Column | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the size: beyond ``max_rows`` the
-    table is returned as it is and the caller joins by shuffle.
-
-    ``weight`` is the size of a row in narrow rows, for rows that hold arrays.
-    Meant for small parameter tables; the check stops at the limit.
-    """
-    head = df.select((F.lit(1) if weight is None else weight).alias("w")).limit(max_rows + 1)
-    size = head.agg(F.sum("w").alias("s")).first()["s"] or 0
-    return F.broadcast(df) if size <= max_rows else df
-
-
 def rename_present(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
@@ -176,13 +160,15 @@ def check_rectangular(df: DataFrame, time: str = "time", station: str = "weather
     ).withColumn("rectangular", F.col("n_rows") == F.col("n_times") * F.col("n_stations"))
 
 
-def paired_product(a: DataFrame, b: DataFrame, shards: int = 64) -> DataFrame:
+def paired_product(a: DataFrame, b: DataFrame, shards: int | None = None) -> DataFrame:
     """Every row of ``a`` with every row of ``b``, for outputs that are a full
     grid by definition (each hour for each cell).
 
     The rows of ``b`` are dealt over shards and each row of ``a`` visits every
-    shard once, so the work is an evenly spread equi-join.
+    shard once, so the work is an evenly spread equi-join. Give the smaller
+    table as ``a``. Unless told, there are as many shards as shuffle partitions.
     """
+    shards = shards or int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = b.withColumn("_shard", F.pmod(F.xxhash64(*b.columns), F.lit(shards)).cast("int"))
     visiting = a.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     return visiting.join(dealt, "_shard").drop("_shard")

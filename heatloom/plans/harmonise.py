@@ -9,7 +9,6 @@ from ..functions.clock import to_time
 from ..functions.keys import station_key
 from ..functions.solar import sun_position, with_radiation
 from ..functions.weather import kelvin_to_celsius, relative_humidity, wind_direction, wind_speed
-from ..operators.neighbours import longest_series
 from ..operators.series import harmonise_series
 from ..operators.tables import attach_coords, drop_nulls, join_variables, nan_columns_to_null, rename_present
 
@@ -65,10 +64,8 @@ def history_weather(df: DataFrame, batch_col: str | None = None, circular_wind:
                     fix_last_unit: bool = False, **cut: int) -> DataFrame:
     """Wide raw history rows to the harmonised table.
 
-    One shuffle: all variables of a station travel together. Series lengths
-    are counted on the two coordinate columns alone.
+    All variables of a station travel together, in one shuffle of the rows.
     """
-    cut.setdefault("longest", longest_series(df, ["latitude", "longitude"]))
     raw = drop_nulls(nan_columns_to_null(df)).drop(*HISTORY_EXTRAS)
     named = rename_present(raw, {"valid_time": "time", **HISTORY_VARIABLES})
     named = named.withColumn("time", to_time(F.col("time")))
@@ -88,7 +85,6 @@ def forecast_weather(df: DataFrame, batch_col: str | None = None, circular_wind:
                      **cut: int) -> DataFrame:
     """Wide raw forecast rows (with coordinates) to the harmonised table."""
     named = rename_present(df.drop("index"), FORECAST_VARIABLES)
-    cut.setdefault("longest", longest_series(named, ["latitude", "longitude"]))
     named = drop_nulls(nan_columns_to_null(named))
     named = named.withColumn("time", to_time(F.col("time")))
     derived = _with_station(_with_wind(named)).withColumn(

@@ -86,27 +86,33 @@ def test_densify_marks_holes(spark):
     assert got == [("A", 1.0), ("A", None), ("B", 2.0), ("B", None)]
 
 
+def test_densify_visits_only_days_that_occur(spark):
+    df = table(spark, [("A", dt.datetime(1900, 1, 1), 1.0), ("B", dt.datetime(2024, 5, 5), 2.0)])
+    got = series.densify(df)
+    assert got.count() == 4
+    assert "sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.tuples(st.sampled_from("ABC"), st.integers(0, 40_000_000)), min_size=1, max_size=60, unique=True),
     st.sampled_from([HOUR, 24 * HOUR, 7 * 24 * HOUR]),
-    st.sampled_from([0, 5, 1000]),
 )
-def test_neighbours_equal_plain_window(spark, points, width, whole):
+def test_neighbours_equal_plain_window(spark, points, width):
     base = dt.datetime(2000, 1, 1)
     df = table(spark, [(k, base + dt.timedelta(seconds=s * 7), float(s)) for k, s in points])
     w = Window.partitionBy("weatherStation").orderBy("time")
     plain = df.select("weatherStation", "time", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n"),
                       F.min("time").over(Window.partitionBy("weatherStation")).alias("a"))
-    got = with_neighbours(df, ["weatherStation"], "time", ["v"], bucket_seconds=width, whole_series=whole).select(
+    got = with_neighbours(df, ["weatherStation"], "time", ["v"], bucket_seconds=width).select(
         "weatherStation", "time", F.col("_prev_v").alias("p"), F.col("_next_v").alias("n"), F.col("_first_time").alias("a"))
     assert rows(got) == rows(plain)
 
 
 def test_equal_times_are_ordered_by_tie(spark):
     df = spark.createDataFrame([("A", T0, i, float(i * i)) for i in range(6)], "weatherStation string, time timestamp_ntz, id int, v double")
-    for whole in (0, 1000):
-        got = series.deaccumulate_rain(df, "v", tie=["id"], fix_last_unit=True, whole_series=whole).orderBy("id").collect()
+    for width in (HOUR, 7 * 24 * HOUR):
+        got = series.deaccumulate_rain(df, "v", tie=["id"], fix_last_unit=True, bucket_seconds=width).orderBy("id").collect()
         assert [r["v"] for r in got] == [0.0, 3000.0, 5000.0, 7000.0, 9000.0, 9000.0]
 
 
@@ -115,7 +121,7 @@ def test_long_series_are_cut_by_bucket(spark, data):
     df = spark.read.parquet(f"{data}/events.parquet").selectExpr(
         "concat('s', user_id % 3) AS weatherStation", "ts AS time", "value AS v", "event_id"
     )
-    plan = series.interval_mean(df, ["v"], bucket_seconds=HOUR, whole_series=100)._jdf.queryExecution().executedPlan().toString()
+    plan = series.interval_mean(df, ["v"], bucket_seconds=HOUR)._jdf.queryExecution().executedPlan().toString()
     row_windows = [line for line in plan.splitlines() if "Window [lead(time" in line]
     assert row_windows and all("_b#" in line.split("windowspecdefinition(")[1].split("ASC")[0] for line in row_windows)
     assert "partial_min_by(v" in plan and "HashAggregate(keys=[weatherStation" in plan
