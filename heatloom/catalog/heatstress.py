@@ -67,17 +67,22 @@ def _(s, d):
     return _r8(_text_date(heat.daily_stats(v.wx(s, d), "airTemperature"), "date"), *STATS)
 
 
-def _sql_flags() -> dict[str, str]:
-    flags = {"heatWave": f"low > {heat.HEAT_WAVE_LIMIT}"}
-    flags |= {n: f"night_temp_min > {x}" for n, x in heat.NIGHT_LIMITS}
-    for c, suffix in (("day_temp_max", "MaxTemperature"), ("day_temp_mean", "AverageTemperature")):
-        for n, lo, hi in heat.BANDS:
-            parts = ([f"{c} >= {lo}"] if lo is not None else []) + ([f"{c} < {hi}"] if hi is not None else [])
-            flags[n + suffix] = " AND ".join(parts)
-    return flags
-
-
-FLAGS = _sql_flags()
+# Written out, so that a changed limit in the operators shows.
+FLAGS = {
+    "heatWave": "low > 33",
+    "tropicalNight": "night_temp_min > 20",
+    "torridNight": "night_temp_min > 25",
+    "infernalNight": "night_temp_min > 30",
+}
+for _c, _suffix in (("day_temp_max", "MaxTemperature"), ("day_temp_mean", "AverageTemperature")):
+    FLAGS |= {
+        f"safe{_suffix}": f"{_c} < 27",
+        f"caution{_suffix}": f"{_c} >= 27 AND {_c} < 33",
+        f"extremeCaution{_suffix}": f"{_c} >= 33 AND {_c} < 41",
+        f"hazardous{_suffix}": f"{_c} >= 41 AND {_c} < 52",
+        f"extremeHazardous{_suffix}": f"{_c} >= 52 AND {_c} < 92",
+        f"beyondHumanLimit{_suffix}": f"{_c} >= 92",
+    }
 ROLLED = v.DAILY + """, rolled AS (SELECT *, min(day_temp_max) OVER (PARTITION BY weatherStation ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS low FROM daily)"""
 
 

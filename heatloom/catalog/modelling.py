@@ -59,6 +59,16 @@ def _(s, d):
     return out
 
 
+@query("j5_features_of_runs", f"""WITH {HOURLY}, {CELLS}, i AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-09', TIMESTAMP '2024-01-12', INTERVAL 1 DAY)) AS issue),
+ runs AS (SELECT issue + INTERVAL 1 HOUR AS forecastingTime, hourly.* FROM hourly JOIN i ON time BETWEEN issue + INTERVAL 1 HOUR AND issue + INTERVAL 4 DAY),
+ wide AS (SELECT forecastingTime, time, {FEATURES} FROM runs GROUP BY 1, 2)
+SELECT forecastingTime, time, weatherStation, round(elevation, 6) AS elevation, {', '.join(f'coalesce(round({f}, 6), -99) AS {f}' for f in FEATURE_NAMES)} FROM wide, cellgrid""")
+def _(s, d):
+    runs = model.forecast_runs(_hourly(s, d), "2024-01-12", 3)
+    f = model.grid_features(runs, _cells(s, d), VARS, STATIONS, 1, run=["forecastingTime"])
+    return f.select("forecastingTime", "time", "weatherStation", r6("elevation").alias("elevation"), *[F.coalesce(F.round(c, 6), F.lit(-99.0)).alias(c) for c in FEATURE_NAMES])
+
+
 @query("m2_split_by_time", """WITH t AS (SELECT DISTINCT ts AS time FROM events), r AS (
   SELECT time, row_number() OVER (ORDER BY md5(concat(strftime(time, '%Y-%m-%d %H:%M:%S.%f'), '|42')), time) AS r, count(*) OVER () AS n FROM t)
 SELECT event_id, r <= ceil(0.1::double * n) AS is_test FROM events JOIN r ON ts = time""")
@@ -131,11 +141,16 @@ def _(s, d):
     return downscale.predict_grid(fitted, lr, static, lr_stats, hr_stats, VARS, STATIONS, 2)
 
 
+# Written out, so that a changed list in the flows shows.
+FORECAST_SMOOTH = ["windSpeed", "windSpeedEast", "windSpeedNorth", "windDirection", "airTemperature", "relativeHumidity"]
+HIST_MEANS = [*FORECAST_SMOOTH, "dewAirTemperature", "soilTemperature", "soilWaterRatio", "lowVegetationRatio", "highVegetationRatio", "albedo"]
+
+
 def _hist_sql() -> str:
     w = "OVER (PARTITION BY weatherStation ORDER BY time)"
-    named = ", ".join(f"{a} AS {b}" for a, b in harmonise.HISTORY_VARIABLES.items() if a not in ("t2m", "d2m", "stl4"))
-    kelvin = ", ".join(f"{a} - 273.15::double AS {b}" for a, b in harmonise.HISTORY_VARIABLES.items() if a in ("t2m", "d2m", "stl4"))
-    means = ", ".join(f"CASE WHEN lead(event_id) {w} IS NULL THEN {c} ELSE (lead({c}) {w} + {c}) / 2 END AS {c}" for c in harmonise.HISTORY_MEANS)
+    named = "u10 AS windSpeedEast, v10 AS windSpeedNorth, lai_lv AS lowVegetationRatio, lai_hv AS highVegetationRatio, tp AS totalPrecipitation, ssrd AS GHI, fal AS albedo, swvl4 AS soilWaterRatio"
+    kelvin = "t2m - 273.15::double AS airTemperature, d2m - 273.15::double AS dewAirTemperature, stl4 - 273.15::double AS soilTemperature"
+    means = ", ".join(f"CASE WHEN lead(event_id) {w} IS NULL THEN {c} ELSE (lead({c}) {w} + {c}) / 2 END AS {c}" for c in HIST_MEANS)
     return f"""WITH {v.RAW}, a AS (SELECT event_id, valid_time AS time, concat(latitude, '_', longitude) AS weatherStation, latitude, longitude, {named}, {kelvin},
  sqrt(u10 ** 2 + v10 ** 2) AS windSpeed, (180 + degrees(atan2(u10, v10))) % 360 AS windDirection FROM raw),
 b AS (SELECT *, exp(17.67::double * dewAirTemperature / (dewAirTemperature + 243.5::double)) / exp(17.67::double * airTemperature / (airTemperature + 243.5::double)) AS relativeHumidity FROM a),
@@ -146,7 +161,7 @@ e AS (SELECT * EXCLUDE (rain), CASE WHEN rain >= 0 THEN rain ELSE lag(rain) {w}
 sunin AS (SELECT * FROM e){SUN_CTE}{DISC_CTE}"""
 
 
-HIST_OUT = [c for c in harmonise.HISTORY_MEANS if c not in ("windDirection",)] + ["GHI", "totalPrecipitation"]
+HIST_OUT = [c for c in HIST_MEANS if c != "windDirection"] + ["GHI", "totalPrecipitation"]
 
 
 @query("m8_history_weather", f"{_hist_sql()} SELECT event_id, weatherStation, time, {', '.join(f'round({c}, 5) + 0.0::double AS {c}' for c in HIST_OUT + ['windDirection'])}, round(sunElevation, 4) + 0.0::double AS sunElevation, round(sunAzimuth, 4) + 0.0::double AS sunAzimuth, round(DNI, 3) + 0.0::double AS DNI, round(DHI, 3) + 0.0::double AS DHI FROM sun")
@@ -159,19 +174,19 @@ def _(s, d):
 
 
 W = "OVER (PARTITION BY weatherStation ORDER BY time)"
-FORE_MEANS = ", ".join(f"CASE WHEN lead(event_id) {W} IS NULL THEN {c} ELSE (lead({c}) {W} + {c}) / 2 END AS {c}" for c in harmonise.FORECAST_MEANS)
+FORE_MEANS = ", ".join(f"CASE WHEN lead(event_id) {W} IS NULL THEN {c} ELSE (lead({c}) {W} + {c}) / 2 END AS {c}" for c in FORECAST_SMOOTH)
 
 
 @query("m8_forecast_weather", f"""WITH {v.RAW}, a AS (SELECT event_id, valid_time AS time, concat(latitude, '_', longitude) AS weatherStation, latitude, longitude, u10 AS windSpeedEast, v10 AS windSpeedNorth,
  t2m - 273.15::double AS airTemperature, fal AS relativeHumidity, tp AS totalPrecipitation, value_ghi AS GHI, sqrt(u10 ** 2 + v10 ** 2) AS windSpeed, (180 + degrees(atan2(u10, v10))) % 360 AS windDirection
  FROM (SELECT *, ssrd / 3600 AS value_ghi FROM raw)), sunin AS (SELECT event_id, time, weatherStation, latitude, longitude, {FORE_MEANS}, totalPrecipitation, GHI FROM a){SUN_CTE}{DISC_CTE}
-SELECT event_id, weatherStation, {', '.join(f'round({c}, 5) + 0.0::double AS {c}' for c in harmonise.FORECAST_MEANS)}, round(totalPrecipitation, 6) AS totalPrecipitation, round(DNI, 3) + 0.0::double AS DNI, round(DHI, 3) + 0.0::double AS DHI FROM sun""")
+SELECT event_id, weatherStation, {', '.join(f'round({c}, 5) + 0.0::double AS {c}' for c in FORECAST_SMOOTH)}, round(totalPrecipitation, 6) AS totalPrecipitation, round(DNI, 3) + 0.0::double AS DNI, round(DHI, 3) + 0.0::double AS DHI FROM sun""")
 def _(s, d):
     raw = v.raw(s, d).selectExpr(
         "event_id", "valid_time AS time", "latitude AS lat", "longitude AS lon", "u10 AS u", "v10 AS v", "t2m AS temp", "fal AS rh", "tp AS prec", "ssrd / 3600 AS swflx"
     )
     out = harmonise.forecast_weather(raw)
-    five = {c: F.round(c, 5) + 0.0 for c in harmonise.FORECAST_MEANS}
+    five = {c: F.round(c, 5) + 0.0 for c in FORECAST_SMOOTH}
     three = {c: F.round(c, 3) + 0.0 for c in ("DNI", "DHI")}
     return out.withColumns(five | three | {"totalPrecipitation": F.round("totalPrecipitation", 6)}).select(
         "event_id", "weatherStation", *five, "totalPrecipitation", *three

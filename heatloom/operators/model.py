@@ -64,9 +64,10 @@ def feature_name(variable: str, station: str) -> str:
 
 
 def wide_by_time(lr: DataFrame, variables: Sequence[str], stations: Sequence[str], time: str = "time",
-                 key: str = "weatherStation") -> DataFrame:
-    """One row per time with every variable of every listed station."""
-    return lr.where(F.col(key).isin(list(stations))).groupBy(time).agg(
+                 key: str = "weatherStation", run: Sequence[str] = ()) -> DataFrame:
+    """One row per time with every variable of every listed station; ``run``
+    names columns that tell forecast runs of one time apart."""
+    return lr.where(F.col(key).isin(list(stations))).groupBy(*run, time).agg(
         *[
             F.max(F.when(F.col(key) == s, F.col(v))).alias(feature_name(v, s))
             for v in variables for s in stations
@@ -90,10 +91,12 @@ def build_features(targets: DataFrame, lr: DataFrame, static: DataFrame, variabl
 
 
 def grid_features(lr: DataFrame, static: DataFrame, variables: Sequence[str], stations: Sequence[str],
-                  n_harmonics: int = 4, time: str = "time", key: str = "weatherStation", shards: int = 64) -> DataFrame:
-    """The same features for every hour on every cell. The wide rows are
-    spread before they meet the cells, so the large result is never shuffled."""
-    joined = paired_product(wide_by_time(lr, variables, stations, time, key), static, shards)
+                  n_harmonics: int = 4, time: str = "time", key: str = "weatherStation", shards: int | None = None,
+                  run: Sequence[str] = ()) -> DataFrame:
+    """The same features for every hour (of every run) on every cell. The narrow
+    cells are copied to all shards and each wide row is shuffled once; the large
+    result never is."""
+    joined = paired_product(static, wide_by_time(lr, variables, stations, time, key, run), shards)
     return _with_place_and_time(joined, n_harmonics, time, key)
 
 

@@ -110,9 +110,13 @@ def fit_downscaling(
 def predict_grid(
     model: PipelineModel, lr: DataFrame, static: DataFrame, lr_stats: DataFrame, hr_stats: DataFrame,
     variables: Sequence[str], stations: Sequence[str], n_harmonics: int = 4,
-    targets: Sequence[str] = tuple(TARGETS), shards: int = 64,
+    targets: Sequence[str] = tuple(TARGETS), shards: int | None = None, run: Sequence[str] = (),
 ) -> DataFrame:
-    """Predictions for every hour of ``lr`` on every cell of ``static``."""
+    """Predictions for every hour of ``lr`` on every cell of ``static``.
+
+    Overlapping forecast runs are told apart by the columns ``run``, as
+    ``("forecastingTime",)`` after :func:`forecast_runs`; they lead the result.
+    """
     x = normalise(lr, lr_stats, variables)
-    features = grid_features(x, static, variables, stations, n_harmonics, shards=shards)
-    return assemble_predictions(predict(model, features), hr_stats, targets)
+    features = grid_features(x, static, variables, stations, n_harmonics, shards=shards, run=run)
+    return assemble_predictions(predict(model, features), hr_stats, targets, (*run, "time", "weatherStation"))
