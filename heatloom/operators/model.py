@@ -6,7 +6,7 @@ import math
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.clock import forecast_hours, fourier, issue_time
 from ..functions.keys import station_lat, station_lon
 from ..functions.weather import nan_to_null, quantile_scale, quantile_unscale
-from ..session import materialise
+from ..session import materialise, scratch_path
 from .order import quantile_stats, shuffled_rank, time_rank
-from .tables import drop_nulls, paired_product, select_times
+from .tables import common_times, drop_nulls, paired_product, select_times
 
 # Variables in model order, for forecast and history input.
 FORECAST_ORDER = [
@@ -30,10 +30,12 @@ HISTORY_ORDER = [
     "totalPrecipitation", "windDirection", "windSpeed",
 ]
 TARGETS = ["airTemperature", "relativeHumidity"]
+# Harmonised variables that are no model input.
+NOT_USED = ["dewAirTemperature", "windSpeedEast", "windSpeedNorth"]
 
 # Training settings.
 TRAINING = {"iterations": 400, "learn_rate": 0.03, "depth": 6, "n_harmonics": 4, "n_hours": 3 * 8760,
-            "n_steps": 200, "validation_hours": 1000, "test_ratio": 0.1, "seed": 42}
+            "n_steps": 200, "validation_hours": 1000, "test_ratio": 0.1, "seed": 42, "patience": 30}
 
 
 def _wide_stats(stats: DataFrame, variables: Sequence[str], key: str) -> DataFrame:
@@ -145,14 +147,20 @@ def prepare_training(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(training rows, low-resolution statistics, high-resolution statistics).
 
-    Statistics come from all hours and are computed once; ``hours`` then
-    selects the times that become rows.
+    Only times that both tables hold count. Statistics come from all of those
+    and are computed once; ``hours`` then selects the times that become rows.
+    Variables that are no model input are left out.
     """
+    variables = [v for v in variables if v not in NOT_USED]
+    common = materialise(common_times(hr, lr), "common-times")
+    # Written narrow: statistics and features read them three times.
+    hr = materialise(select_times(hr.select("time", "weatherStation", *targets), common), "fine-hours")
+    lr = materialise(select_times(lr.select("time", "weatherStation", *variables), common), "coarse-hours")
     lr_stats = materialise(quantile_stats(lr, variables), "lr-stats")
     hr_stats = materialise(quantile_stats(hr, targets), "hr-stats")
     if hours is not None:
         hr, lr = select_times(hr, hours), select_times(lr, hours)
-    y = normalise(hr.select("time", "weatherStation", *targets), hr_stats, targets)
+    y = normalise(hr, hr_stats, targets)
     y = y.withColumnsRenamed({t: f"y_{t}" for t in targets})
     x = normalise(lr, lr_stats, variables)
     return build_features(y, x, static, variables, stations, n_harmonics), lr_stats, hr_stats
@@ -167,21 +175,51 @@ def fill_missing(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(MISSING)) for c in features})
 
 
+def best_rounds(errors: Sequence[float], patience: int) -> int:
+    """Rounds up to the least error, looking on for ``patience`` rounds without a gain."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def train(df: DataFrame, features: Sequence[str], targets: Sequence[str] = tuple(TARGETS),
           params: Mapping | None = None, validation: str | None = None) -> PipelineModel:
     """One boosted-tree regressor per target, label ``y_<t>``, output
-    ``pred_<t>``. With a boolean ``validation`` column training stops early.
-    Rows without a label cannot be trained on and are left out."""
+    ``pred_<t>``. Rows without a label cannot be trained on and are left out.
+
+    Rows marked by the boolean column ``validation`` are not trained on. The
+    model is the one of the round after which ``patience`` rounds bring no
+    smaller error on them; without such rows all rounds count. Trees do not
+    depend on later ones, so fitting that many rounds again gives the same trees.
+    Lineage is cut in the shared scratch folder every ten rounds.
+    """
     p = {**TRAINING, **(params or {})}
-    labelled = drop_nulls(df, [f"y_{t}" for t in targets])
-    stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")]
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "boosting"))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    labels = [f"y_{t}" for t in targets]
+    rows = assembler.transform(fill_missing(drop_nulls(df, labels), features))
+    rows = rows.select("features", *labels, *([validation] if validation else []))
+    held = rows.where(validation) if validation else None
+    fit_on = rows.where(~F.col(validation)) if validation else rows
+    models = []
     for t in targets:
         gbt = GBTRegressor(
             featuresCol="features", labelCol=f"y_{t}", predictionCol=f"pred_{t}", maxIter=p["iterations"],
-            stepSize=p["learn_rate"], maxDepth=p["depth"], seed=p["seed"],
+            stepSize=p["learn_rate"], maxDepth=p["depth"], seed=p["seed"], checkpointInterval=10,
         )
-        stages.append(gbt.setValidationIndicatorCol(validation) if validation else gbt)
-    return Pipeline(stages=stages).fit(fill_missing(labelled, features))
+        fitted = gbt.fit(fit_on)
+        if held is not None and not held.isEmpty():
+            rounds = best_rounds(fitted.evaluateEachIteration(held, "squared"), p["patience"])
+            if rounds < p["iterations"]:
+                fitted = gbt.setMaxIter(rounds).fit(fit_on)
+        models.append(fitted)
+    return PipelineModel(stages=[assembler, *models])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -13,13 +13,14 @@ from ..functions.keys import station_key
 from ..functions.weather import null_if, scale_vegetation
 from ..session import materialise
 from ..operators.model import (
-    TARGETS, assemble_predictions, feature_columns, grid_features, normalise, predict, prepare_training,
+    NOT_USED, TARGETS, TRAINING, assemble_predictions, feature_columns, grid_features, normalise, predict, prepare_training,
     rmse, sample_times, split_times, train,
 )
-from ..operators.order import ecdf_rank, minmax_01
+from ..operators.order import ecdf_rank, minmax_01, time_rank
 from ..operators.spatial import (
     cell_attributes, crop_pixels, left_fill_zero, points_in_cells, sample_raster, zonal_stats,
 )
+from ..operators.tables import common_times
 
 # Building attributes summed per cell, and the one averaged.
 BUILDING_SUMS = [
@@ -79,6 +80,12 @@ def static_features(
     return minmax_01(wide, [c for c in wide.columns if c != key])
 
 
+def training_hours(hr: DataFrame, lr: DataFrame, n_hours: int = TRAINING["n_hours"]) -> DataFrame:
+    """The first ``n_hours`` hours that both tables hold: the documented bound on training rows."""
+    times = time_rank(common_times(hr, lr), "time", "_t")
+    return times.where(F.col("_t") <= n_hours).select("time")
+
+
 def fit_downscaling(
     hr: DataFrame, lr: DataFrame, static: DataFrame, variables: Sequence[str], stations: Sequence[str],
     params: dict | None = None, hours: DataFrame | None = None, validation_hours: int = 1000,
@@ -86,8 +93,9 @@ def fit_downscaling(
 ) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
     """(model, errors, low-resolution statistics, high-resolution statistics).
 
-    Whole hours are dealt to train, test and validation; validation hours stop
-    the boosting and are not trained on. The rows are written once: boosting
+    ``hours`` selects what is trained on; :func:`training_hours` gives the first
+    N common hours. Whole hours are dealt to train, test and validation;
+    validation hours pick the round and are not trained on. The rows are written once: boosting
     passes over them many times and must not recompute them.
     """
     rows, lr_stats, hr_stats = prepare_training(hr, lr, static, variables, stations, targets, hours, n_harmonics)
@@ -96,6 +104,7 @@ def fit_downscaling(
     held = sample_times(parts.where(~F.col("is_test")), validation_hours, seed + 1).withColumn("_held", F.lit(True))
     parts = parts.join(held, "time", "left").select("time", "is_test", F.coalesce("_held", F.lit(False)).alias("is_validation"))
     split = rows.join(materialise(parts, "training-times"), "time")
+    variables = [v for v in variables if v not in NOT_USED]
     columns = feature_columns(static, variables, stations, n_harmonics)
     model = train(split.where(~F.col("is_test")), columns, targets, params, "is_validation")
     scored = predict(model, split).where(F.col("is_test") | F.col("is_validation"))
@@ -117,6 +126,7 @@ def predict_grid(
     Overlapping forecast runs are told apart by the columns ``run``, as
     ``("forecastingTime",)`` after :func:`forecast_runs`; they lead the result.
     """
+    variables = [v for v in variables if v not in NOT_USED]
     x = normalise(lr, lr_stats, variables)
     features = grid_features(x, static, variables, stations, n_harmonics, shards=shards, run=run)
     return assemble_predictions(predict(model, features), hr_stats, targets, (*run, "time", "weatherStation"))

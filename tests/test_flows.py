@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from heatloom.operators import heat, series
+from heatloom.operators import heat, model, series
 from heatloom.plans import downscale, harmonise
 from heatloom.sources import observations, opendata, tables
 from heatloom.streaming import ingest, intervals
@@ -183,8 +183,6 @@ def test_static_features_are_scaled(spark):
 
 
 def test_training_beats_the_mean_and_predicts_every_row(spark):
-    from heatloom.operators import model
-
     data = [
         (h, T0 + dt.timedelta(hours=h), "41.3_2.1", float(h % 24) / 24, None if h % 7 == 0 else h % 5 / 5.0, (h % 24) / 24 * 0.8 + 0.1)
         for h in range(400)
@@ -196,3 +194,11 @@ def test_training_beats_the_mean_and_predicts_every_row(spark):
     assert out.count() == 400
     error = model.rmse(out.where("held"), {"y_airTemperature": "pred_airTemperature"}).first()["rmse"]
     assert error < 0.1
+
+
+def test_rounds_look_on_for_their_patience():
+    errors = [5.0, 4.0, 4.5, 4.4, 3.0, 3.5, 3.6, 3.7, 1.0]
+    assert model.best_rounds(errors, 2) == 2
+    assert model.best_rounds(errors, 3) == 5
+    assert model.best_rounds(errors, 30) == 9
+    assert model.best_rounds([1.0], 30) == 1
