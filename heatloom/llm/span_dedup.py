@@ -15,7 +15,7 @@ from heatloom.llm import text
 from heatloom.session import materialise
 
 RUN, LEAST_WORDS, MOST_WORDS = 3, 16, 12
-SPANS = "id long, key long, span long, first int, again int"
+SPANS = "id long, key long, span long, place long, again int"
 
 
 def sentence_starts(data: np.ndarray, found: text.Words, most_words: int) -> np.ndarray:
@@ -35,27 +35,33 @@ def sentence_starts(data: np.ndarray, found: text.Words, most_words: int) -> np.
     return np.flatnonzero((number - np.maximum.accumulate(np.where(new, number, 0))) % most_words == 0)
 
 
-def _runs(found: text.Words, starts: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First sentence and hash of every run of sentences of one row that has enough words."""
-    edges = np.append(starts, len(found.hash))
-    own = text.span_mix(found.hash, edges)
-    n = len(starts) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    row = found.row[starts]
-    at = np.flatnonzero((row[:n] == row[run - 1 :]) & (edges[run:] - edges[:n] >= least_words))
-    return at, text.grams(own, run)[at]
+def _runs(found: text.Words, starts: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences and hash of the words of runs within one row.
+
+    Runs are the shortest with ``run`` sentences and ``least_words`` words that
+    begin with, or end with, each sentence. So every sentence of a passage that
+    is long enough for one run lies in some run that is inside the passage.
+    """
+    n = len(starts)
+    edges, row, number = np.append(starts, len(found.hash)), found.row[starts], np.arange(n)
+    end = np.maximum(number + run, np.searchsorted(edges, edges[:n] + least_words, "left"))
+    begin = np.minimum(number + 1 - run, np.searchsorted(edges, edges[1:] - least_words, "right") - 1)
+    on, back = np.flatnonzero(end <= n), np.flatnonzero(begin >= 0)
+    on, back = on[row[end[on] - 1] == row[on]], back[row[begin[back]] == row[back]]
+    both = np.unique(np.append(on << 32 | end[on], begin[back] << 32 | back + 1))
+    at, stop = both >> 32, both & 0xFFFFFFFF
+    return at, stop - at, text.range_mix(found.hash, edges[at], edges[stop])
 
 
 def _spans(run: int, least_words: int, most_words: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct span of each row: its first sentence, and whether the row itself repeats it."""
+    """The spans of each row: their place (first sentence << 32 | number of sentences), and whether the row has them before."""
     for batch in batches:
         data, offsets = text.text_bytes(batch.column(1))
         for lo, hi in text.blocks(offsets, block):
             part = data[offsets[lo] : offsets[hi]]
             found = text.words(part, offsets[lo : hi + 1] - offsets[lo])
             starts = sentence_starts(part, found, most_words)
-            at, span = _runs(found, starts, run, least_words)
+            at, size, span = _runs(found, starts, run, least_words)
             row = found.row[starts]
             first_of_row = np.searchsorted(row, row[at], "left")
             order = np.lexsort((at, span, row[at]))
@@ -65,13 +71,13 @@ def _spans(run: int, least_words: int, most_words: int, block: int, batches: Ite
             again[order] = same
             which = pa.array(lo + row[at])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(which), batch.column(2).take(which), pa.array(span.view(np.int64)), pa.array((at - first_of_row).astype(np.int32)), pa.array(again)],
-                ["id", "key", "span", "first", "again"],
+                [batch.column(0).take(which), batch.column(2).take(which), pa.array(span.view(np.int64)), pa.array((at - first_of_row) << 32 | size), pa.array(again)],
+                ["id", "key", "span", "place", "again"],
             )
 
 
-def _cut(run: int, most_words: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, first sentences of repeated spans, ...): the rows with the covered sentences cut out."""
+def _cut(most_words: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, places of repeated spans, ...): the rows with the covered sentences cut out."""
     for batch in batches:
         data, offsets = text.text_bytes(batch.column(0))
         marks = batch.column(1)
@@ -88,9 +94,10 @@ def _cut(run: int, most_words: int, block: int, batches: Iterator[pa.RecordBatch
             for k in range(hi - lo):
                 own, mark, gone = bytes(part[at[k] : at[k + 1]]), marks[lo + k].as_py() or [], 0
                 if mark:
-                    covered = np.zeros(count[k] + 1, bool)
-                    spots = np.unique(np.add.outer(np.array(mark), np.arange(run)))
-                    covered[spots[spots < count[k]]] = True
+                    place, change = np.array(mark), np.zeros(count[k] + 1, np.int64)
+                    np.add.at(change, place >> 32, 1)
+                    np.add.at(change, (place >> 32) + (place & 0xFFFFFFFF), -1)
+                    covered = np.cumsum(change) > 0
                     gone = int(covered.sum())
                     # A sentence reaches to the next one; what precedes the first stays.
                     edges = np.append(begin[first[k] : first[k] + count[k]] - at[k], len(own))
@@ -110,7 +117,7 @@ def text_key(c: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, block: int = 1 << 19) -> DataFrame:
-    """id, key and the first sentences of all spans that are not the first of their kind.
+    """id, key and the places of all spans that are not the first of their kind.
 
     The first is the one with the smallest doc_id (null before all), then text
     key, then place. A document holds each span once on the way to the join, so
@@ -131,11 +138,11 @@ def repeated_spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WOR
     # Rows with the owner's id but other texts are told apart by their key.
     mine = F.coalesce("id", F.lit(-(1 << 63))) == F.col("low")
     rivals = shared.where(mine).groupBy(F.col("span").alias("owned")).agg(F.min("key").alias("owner_key"), F.max("key").alias("last_key")).where("owner_key != last_key").select("owned", "owner_key")
-    later = shared.where(~mine).select("id", "key", "first").unionByName(
-        shared.where(mine).drop("owned").join(rivals, F.col("span") == F.col("owned")).where("key != owner_key").select("id", "key", "first")
+    later = shared.where(~mine).select("id", "key", "place").unionByName(
+        shared.where(mine).drop("owned").join(rivals, F.col("span") == F.col("owned")).where("key != owner_key").select("id", "key", "place")
     )
-    own = spans.where("again = 1").select("id", "key", "first")
-    return later.unionByName(own).groupBy("id", "key").agg(F.collect_set("first").alias("marks"))
+    own = spans.where("again = 1").select("id", "key", "place")
+    return later.unionByName(own).groupBy("id", "key").agg(F.collect_set("place").alias("marks"))
 
 
 def drop_repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, block: int = 1 << 19) -> DataFrame:
@@ -144,8 +151,8 @@ def drop_repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int =
     Returns text, n_sentences and n_removed, and the other columns of ``docs``
     in front under their names. Rows equal in doc_id and text are one document
     here and come back alike. A null text stays null and an empty one empty;
-    neither has sentences. Spans are ``run`` sentences with at least
-    ``least_words`` words, compared word by word, lower-cased.
+    neither has sentences. Spans are the shortest runs of at least ``run``
+    sentences and ``least_words`` words, compared word by word, lower-cased.
     """
     marks = repeated_spans(docs, run, least_words, most_words, block)
     marks = marks.select(F.col("id").alias("_span_id"), F.col("key").alias("_span_key"), F.col("marks").alias("_span_marks"))
@@ -154,7 +161,7 @@ def drop_repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int =
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     ddl = "text string, n_sentences long, n_removed long" + (", " + fields if others else "")
     cut = joined.select(docs["text"].cast("string").alias("text"), F.col("_span_marks").alias("_marks"), *(docs[c] for c in others))
-    out = cut.mapInArrow(partial(_cut, run, most_words, block), ddl)
+    out = cut.mapInArrow(partial(_cut, most_words, block), ddl)
     return out.select(*others, "text", "n_sentences", "n_removed")
 
 

@@ -133,10 +133,9 @@ def shingles(found: Words, rows: int, k: int) -> Shingles:
     return Shingles(h[at], r[at], np.diff(np.append(at, len(h))))
 
 
-def span_mix(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of entries between consecutive edges, by a polynomial over the entries."""
+def range_mix(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of entries, by a polynomial over the entries."""
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * _power(_BASE, len(hashes)), out=total[1:])
     inverse = _power(_INVERSE, len(hashes) + 1)
-    start, end = edges[:-1], edges[1:]
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
