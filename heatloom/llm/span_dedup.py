@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.llm import text
-from heatloom.session import materialise
 
-RUN, LEAST_WORDS, MOST_WORDS = 3, 16, 12
-SPANS = "id long, key long, span long, place long, again int"
+# A passage of 51 words may lose 10 at each end; what is left holds a run: one has 3 * 10 words at most.
+RUN, LEAST_WORDS, MOST_WORDS = 3, 16, 10
+SPANS = "id long, key long, span long"
 
 
 def sentence_starts(data: np.ndarray, found: text.Words, most_words: int) -> np.ndarray:
@@ -35,6 +35,27 @@ def sentence_starts(data: np.ndarray, found: text.Words, most_words: int) -> np.
     return np.flatnonzero((number - np.maximum.accumulate(np.where(new, number, 0))) % most_words == 0)
 
 
+def piece_starts(data: np.ndarray, found: text.Words, most_words: int) -> np.ndarray:
+    """Numbers of the words that begin a sentence or a piece of a long one.
+
+    Of every ``most_words`` consecutive words within a sentence of more, the one
+    of the least hash (the last of equals) begins a piece. So no piece is longer,
+    and equal words get equal cuts wherever the sentences around them begin.
+    """
+    n = len(found.hash)
+    starts = sentence_starts(data, found, max(n, 1))
+    if n < most_words:
+        return starts
+    size = np.diff(np.append(starts, n))
+    sentence = np.repeat(np.arange(len(starts)), size)
+    window = np.arange(n - most_words + 1)
+    window = window[(sentence[window] == sentence[window + most_words - 1]) & (size[sentence[window]] > most_words)]
+    least = window.copy()
+    for k in range(1, most_words):
+        least = np.where(found.hash[window + k] <= found.hash[least], window + k, least)
+    return np.union1d(starts, least)
+
+
 def _runs(found: text.Words, starts: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First sentence, number of sentences and hash of the words of runs within one row.
 
@@ -53,31 +74,31 @@ def _runs(found: text.Words, starts: np.ndarray, run: int, least_words: int) ->
     return at, stop - at, text.range_mix(found.hash, edges[at], edges[stop])
 
 
+def _repeats(row: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Whether the same row has the same span before."""
+    order = np.lexsort((np.arange(len(span)), span, row))
+    again = np.zeros(len(span), bool)
+    again[order[1:]] = (span[order[1:]] == span[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+    return again
+
+
 def _spans(run: int, least_words: int, most_words: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spans of each row: their place (first sentence << 32 | number of sentences), and whether the row has them before."""
+    """Each distinct span of each row."""
     for batch in batches:
         data, offsets = text.text_bytes(batch.column(1))
         for lo, hi in text.blocks(offsets, block):
             part = data[offsets[lo] : offsets[hi]]
             found = text.words(part, offsets[lo : hi + 1] - offsets[lo])
-            starts = sentence_starts(part, found, most_words)
-            at, size, span = _runs(found, starts, run, least_words)
-            row = found.row[starts]
-            first_of_row = np.searchsorted(row, row[at], "left")
-            order = np.lexsort((at, span, row[at]))
-            same = np.zeros(len(order), bool)
-            same[1:] = (span[order[1:]] == span[order[:-1]]) & (row[at[order[1:]]] == row[at[order[:-1]]])
-            again = np.zeros(len(order), np.int32)
-            again[order] = same
-            which = pa.array(lo + row[at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(which), batch.column(2).take(which), pa.array(span.view(np.int64)), pa.array((at - first_of_row) << 32 | size), pa.array(again)],
-                ["id", "key", "span", "place", "again"],
-            )
-
-
-def _cut(most_words: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, places of repeated spans, ...): the rows with the covered sentences cut out."""
+            starts = piece_starts(part, found, most_words)
+            at, _, span = _runs(found, starts, run, least_words)
+            row = found.row[starts[at]]
+            new = ~_repeats(row, span)
+            which = pa.array(lo + row[new])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(2).take(which), pa.array(span[new].view(np.int64))], ["id", "key", "span"])
+
+
+def _cut(run: int, least_words: int, most_words: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, spans that an earlier text has, ...): the rows with the sentences of those and of their own repeats cut out."""
     for batch in batches:
         data, offsets = text.text_bytes(batch.column(0))
         marks = batch.column(1)
@@ -86,25 +107,33 @@ def _cut(most_words: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iter
             base, at = offsets[lo], offsets[lo : hi + 1] - offsets[lo]
             part = data[base : offsets[hi]]
             found = text.words(part, at)
-            starts = sentence_starts(part, found, most_words)
+            starts = piece_starts(part, found, most_words)
             row = found.row[starts]
             count = np.bincount(row, minlength=hi - lo)
             first = np.cumsum(count) - count
             begin = found.start[starts]
+            place, size, span = _runs(found, starts, run, least_words)
+            gone = _repeats(row[place], span)
+            own_runs = np.searchsorted(row[place], np.arange(hi - lo + 1))
+            for k in range(hi - lo):
+                if mark := marks[lo + k].as_py():
+                    of_row = slice(own_runs[k], own_runs[k + 1])
+                    gone[of_row] |= np.isin(span[of_row].view(np.int64), np.array(mark))
+            change = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(change, place[gone], 1)
+            np.add.at(change, place[gone] + size[gone], -1)
+            covered = np.cumsum(change)[:-1] > 0
+            lost = np.bincount(row, covered, hi - lo).astype(np.int64)
             for k in range(hi - lo):
-                own, mark, gone = bytes(part[at[k] : at[k + 1]]), marks[lo + k].as_py() or [], 0
-                if mark:
-                    place, change = np.array(mark), np.zeros(count[k] + 1, np.int64)
-                    np.add.at(change, place >> 32, 1)
-                    np.add.at(change, (place >> 32) + (place & 0xFFFFFFFF), -1)
-                    covered = np.cumsum(change) > 0
-                    gone = int(covered.sum())
+                own = bytes(part[at[k] : at[k + 1]])
+                if lost[k]:
                     # A sentence reaches to the next one; what precedes the first stays.
-                    edges = np.append(begin[first[k] : first[k] + count[k]] - at[k], len(own))
-                    own = own[: edges[0]] + b"".join(own[edges[s] : edges[s + 1]] for s in np.flatnonzero(~covered[:-1]))
+                    mine = slice(first[k], first[k] + count[k])
+                    edges = np.append(begin[mine] - at[k], len(own))
+                    own = own[: edges[0]] + b"".join(own[edges[s] : edges[s + 1]] for s in np.flatnonzero(~covered[mine]))
                 kept.append(own)
-                sentences.append(count[k])
-                removed.append(gone)
+            sentences += count.tolist()
+            removed += lost.tolist()
         texts = pc.if_else(batch.column(0).is_valid(), pa.array(kept, pa.binary()).cast(pa.string()), pa.scalar(None, pa.string()))
         others = {n: batch.column(n) for n in batch.schema.names[2:]}
         yield pa.RecordBatch.from_pydict(
@@ -117,37 +146,34 @@ def text_key(c: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, block: int = 1 << 19) -> DataFrame:
-    """id, key and the places of all spans that are not the first of their kind.
+    """id, key and all spans that an earlier document has.
 
     The first is the one with the smallest doc_id (null before all), then text
-    key, then place. A document holds each span once on the way to the join, so
-    a much repeated line does not pile up; a span's owner is found by partial
+    key. A document holds each span once on the way to the join, so a much
+    repeated line does not pile up; a span's owner is found by partial
     aggregation, and the join back may be split where one span is very frequent.
+    Spans are hashed twice rather than written.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key"))
-    spans = materialise(rows.mapInArrow(partial(_spans, run, least_words, most_words, block), SPANS), "spans")
-    owner = (
-        spans.where("again = 0")
-        .groupBy("span")
-        .agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("low"), F.max(F.coalesce("id", F.lit(-(1 << 63)))).alias("high"), F.min("key").alias("low_key"), F.max("key").alias("high_key"))
-        .where((F.col("low") != F.col("high")) | (F.col("low_key") != F.col("high_key")))
-        .withColumnRenamed("span", "owned")
-        .select("owned", "low")
-    )
-    shared = spans.where("again = 0").join(owner, F.col("span") == F.col("owned"))
+    spans = rows.mapInArrow(partial(_spans, run, least_words, most_words, block), SPANS)
+    number = F.coalesce("id", F.lit(-(1 << 63)))
+    owner = spans.groupBy(F.col("span").alias("owned")).agg(F.min(number).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("owned", "low")
+    shared = spans.join(owner, F.col("span") == F.col("owned"))
     # Rows with the owner's id but other texts are told apart by their key.
-    mine = F.coalesce("id", F.lit(-(1 << 63))) == F.col("low")
+    # Not by "=", which would become a join key and deal all spans out once more.
+    mine = number <= F.col("low")
     rivals = shared.where(mine).groupBy(F.col("span").alias("owned")).agg(F.min("key").alias("owner_key"), F.max("key").alias("last_key")).where("owner_key != last_key").select("owned", "owner_key")
-    later = shared.where(~mine).select("id", "key", "place").unionByName(
-        shared.where(mine).drop("owned").join(rivals, F.col("span") == F.col("owned")).where("key != owner_key").select("id", "key", "place")
+    later = shared.where(~mine).select("id", "key", "span").unionByName(
+        shared.where(mine).drop("owned").join(rivals, F.col("span") == F.col("owned")).where("key != owner_key").select("id", "key", "span")
     )
-    own = spans.where("again = 1").select("id", "key", "place")
-    return later.unionByName(own).groupBy("id", "key").agg(F.collect_set("place").alias("marks"))
+    return later.groupBy("id", "key").agg(F.collect_set("span").alias("marks"))
 
 
 def drop_repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, block: int = 1 << 19) -> DataFrame:
     """The documents with every sentence cut out that a non-first repeated span covers.
 
+    A sentence of more than ``most_words`` words counts as several, cut at
+    places that its words decide.
     Returns text, n_sentences and n_removed, and the other columns of ``docs``
     in front under their names. Rows equal in doc_id and text are one document
     here and come back alike. A null text stays null and an empty one empty;
@@ -161,7 +187,7 @@ def drop_repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int =
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     ddl = "text string, n_sentences long, n_removed long" + (", " + fields if others else "")
     cut = joined.select(docs["text"].cast("string").alias("text"), F.col("_span_marks").alias("_marks"), *(docs[c] for c in others))
-    out = cut.mapInArrow(partial(_cut, most_words, block), ddl)
+    out = cut.mapInArrow(partial(_cut, run, least_words, most_words, block), ddl)
     return out.select(*others, "text", "n_sentences", "n_removed")
 
 

@@ -2,7 +2,9 @@
 
 import random
 
-from heatloom.llm import span_dedup
+import numpy as np
+
+from heatloom.llm import span_dedup, text
 
 
 def passage(rng, sizes, ends=(". ", "! ", "\n")):
@@ -21,3 +23,21 @@ def test_passages_of_short_sentences(spark):
         shared, own = passage(rng, sizes), [passage(rng, [7, 9, 4, 30]) for _ in range(4)]
         first, second = kept_words(spark, [own[0] + shared + own[1], own[2] + shared + own[3]])
         assert first == (own[0] + shared + own[1]).split() and second == (own[2] + own[3]).split()
+
+
+def test_passages_inside_sentences(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(60)]
+    for lead, end in ((0, 0), (5, 3), (11, 40), (25, 8), (36, 1)):
+        before, after = ([f"x{rng.randrange(1 << 40)}" for _ in range(n)] for n in (lead, end))
+        _, second = kept_words(spark, [" ".join(words), " ".join(before + words + after)])
+        assert len(set(second) & set(words)) <= 20 and set(second) >= set(before + after)
+
+
+def test_pieces_are_bounded():
+    rng = random.Random(3)
+    for ranks in (range(300), range(300, 0, -1), [7] * 300, [rng.randrange(9) for _ in range(300)]):
+        hashes = np.array(ranks, np.uint64)
+        found = text.Words(hashes, np.zeros(300, np.int64), np.arange(300) * 2, np.arange(300) * 2 + 1)
+        starts = span_dedup.piece_starts(np.full(600, 97, np.uint8), found, 10)
+        assert starts[0] == 0 and np.diff(np.append(starts, 300)).max() <= 10
