@@ -9,7 +9,7 @@ those are. Each byte moves on or takes a link, so the work is linear in the text
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 from functools import partial
 
 import numpy as np
@@ -31,19 +31,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Pieces that begin a word (written with a blank in front) and pieces that go on with one."""
+def byte_level_pieces(path: str, bare_blank: bool = False) -> tuple[list[bytes], list[bytes]]:
+    """Pieces that begin a word (written with a blank in front) and pieces that go on with one.
+
+    With ``bare_blank``, the blank alone is the empty piece of those that begin a word.
+    """
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
     alphabet = byte_alphabet()
     whole = [bytes(alphabet[c] for c in piece) for piece in vocabulary if all(c in alphabet for c in piece)]
-    return [p[1:] for p in whole if p[:1] == b" " and len(p) > 1], [p for p in whole if p[:1] != b" "]
+    return [p[1:] for p in whole if p[:1] == b" " and (bare_blank or len(p) > 1)], [p for p in whole if p[:1] != b" "]
 
 
 class Automaton:
     """Children in a hash table over (node, byte); links and counts by node."""
 
-    def __init__(self, begin: Iterable[bytes], go_on: Iterable[bytes]):
+    def __init__(self, begin: Collection[bytes], go_on: Collection[bytes]):
         children: list[dict[int, int]] = [{}, {}]
         ends = set()
         for root, pieces in ((START, begin), (GO_ON, go_on)):
@@ -58,6 +61,8 @@ class Automaton:
                 if piece:
                     ends.add(node)
         link, count = [NONE] * len(children), [0] * len(children)
+        if b"" in begin:
+            link[START], count[START] = GO_ON, 1
         queue = [START, GO_ON]
         for node in queue:
             for byte, child in children[node].items():
@@ -132,13 +137,13 @@ class Automaton:
         return out
 
 
-_built: dict[str, Automaton] = {}
+_built: dict[tuple[str, bool], Automaton] = {}
 
 
-def automaton(path: str) -> Automaton:
-    if path not in _built:
-        _built[path] = Automaton(*byte_level_pieces(path))
-    return _built[path]
+def automaton(path: str, bare_blank: bool = False) -> Automaton:
+    if (path, bare_blank) not in _built:
+        _built[path, bare_blank] = Automaton(*byte_level_pieces(path, bare_blank))
+    return _built[path, bare_blank]
 
 
 def _marks(data: np.ndarray) -> np.ndarray:
@@ -146,8 +151,8 @@ def _marks(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data > 32) & (data < 127) & ~text._IN_WORD[text._LOWER[data]])
 
 
-def _count(path: str, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    machine = automaton(path)
+def _count(path: str, bare_blank: bool, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    machine = automaton(path, bare_blank)
     for batch in batches:
         data, offsets = text.text_bytes(batch.column(1))
         out = []
@@ -163,13 +168,16 @@ def _count(path: str, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, total)], ["doc_id", "n_words", "n_pieces", "n_unknown"])
 
 
-def piece_counts(docs: DataFrame, vocabulary: str | None = None, block: int = 1 << 19) -> DataFrame:
+def piece_counts(docs: DataFrame, vocabulary: str | None = None, block: int = 1 << 19, bare_blank: bool = False) -> DataFrame:
     """Per row: doc_id, words, greedy longest-match pieces and words that the vocabulary can't spell (one piece each).
 
     Words are runs of ASCII letters, digits and bytes from 0x80 on; any other
     visible character is a word of its own. A null or empty text has none.
     Repeated rows are counted each; an empty table gives no rows. Texts are
     taken in blocks of bytes, so memory follows the block or the longest text.
+    With ``bare_blank``, a word that no piece with a blank in front begins is
+    spelled with the blank as a piece of its own; a vocabulary of all bytes then
+    spells every word.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_count, vocabulary or default_tokenizer(), block), COUNTS)
+    return rows.mapInArrow(partial(_count, vocabulary or default_tokenizer(), bare_blank, block), COUNTS)

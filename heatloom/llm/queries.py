@@ -100,7 +100,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_piece_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_counts.piece_counts(table(spark, sf_dir, "documents"))
+    return piece_counts.piece_counts(table(spark, sf_dir, "documents"), bare_blank=True)
 
 
 @query("op9_span_dedup")
