@@ -45,7 +45,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Trained trees, signatures and tokens are beyond SQL; the tests compare each stage with a brute-force version.
+#: Trained trees, signatures and tokens are beyond SQL. The tests hold near_dedup, substring_dedup and benchmark_decontamination
+#: against brute force; quality_classifier and best_fit_packing are tested as operators (held-out labels, places of all pieces).
 ORACLE_SQL = None
 
 
