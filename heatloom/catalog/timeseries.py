@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, model, order, series, tables
+from ..operators import asof, dedup, model, order, series, tables
 from ..operators.neighbours import mark_ends
 from . import views as v
 from .registry import query, r6, rounded, sql_r6
@@ -202,6 +202,33 @@ def _(s, d):
     return rounded(near.select("event_id", "weatherStation", "airTemperature"), "airTemperature")
 
 
+# Every odd event looks for even events of its station; of equal times the greatest event counts.
+ASKED = """asked AS (SELECT event_id, weatherStation, time FROM wx WHERE event_id % 2 = 1),
+known AS (SELECT weatherStation, time, max(event_id) AS found, arg_max(airTemperature, event_id) AS t FROM wx WHERE event_id % 2 = 0 GROUP BY 1, 2)"""
+
+
+def _asof(s, d, **how):
+    w = v.wx(s, d)
+    known = w.where("event_id % 2 = 0").withColumn("found", F.col("event_id"))
+    return asof.asof(w.where("event_id % 2 = 1").select("event_id", "weatherStation", "time"), known, ["found", "airTemperature"], tie=["event_id"], **how)
+
+
+@query("j9_asof_nearest", f"""WITH {v.WX}, {ASKED},
+b AS (SELECT a.*, k.time AS bt, k.found AS bf, k.t AS ba FROM asked a ASOF LEFT JOIN known k ON a.weatherStation = k.weatherStation AND a.time >= k.time),
+f AS (SELECT a.event_id, k.time AS ft, k.found AS ff, k.t AS fa FROM asked a ASOF LEFT JOIN known k ON a.weatherStation = k.weatherStation AND a.time <= k.time),
+n AS (SELECT *, bt IS NOT NULL AND (ft IS NULL OR epoch_us(time) - epoch_us(bt) <= epoch_us(ft) - epoch_us(time)) AS back FROM b JOIN f USING (event_id))
+SELECT event_id, weatherStation, time, CASE WHEN back THEN bt ELSE ft END AS near_time, CASE WHEN back THEN bf ELSE ff END AS near_found, round(CASE WHEN back THEN ba ELSE fa END, 6) AS near_airTemperature FROM n""")
+def _(s, d):
+    return rounded(_asof(s, d, bucket_seconds=86400), "near_airTemperature")
+
+
+@query("j9_asof_backward", f"""WITH {v.WX}, {ASKED}
+SELECT event_id, a.weatherStation, a.time, CASE WHEN near THEN k.time END AS near_time, CASE WHEN near THEN k.found END AS near_found, CASE WHEN near THEN round(k.t, 6) END AS near_airTemperature
+FROM (SELECT *, epoch_us(time) AS u FROM asked) a ASOF LEFT JOIN known k ON a.weatherStation = k.weatherStation AND a.time >= k.time, LATERAL (SELECT u - epoch_us(k.time) <= 1200000000 AS near)""")
+def _(s, d):
+    return rounded(_asof(s, d, direction="backward", within="20 minutes"), "near_airTemperature")
+
+
 @query("j17_densify", """WITH h AS (SELECT DISTINCT date_trunc('hour', ts) AS time, concat('u', user_id % 20) AS weatherStation FROM events), f AS (
   SELECT t.time, s.weatherStation FROM (SELECT DISTINCT time FROM h) t, (SELECT DISTINCT weatherStation FROM h) s)
 SELECT f.time, f.weatherStation, h.time IS NOT NULL AS seen FROM f LEFT JOIN h USING (time, weatherStation)""")

@@ -116,6 +116,8 @@ def sample_raster(points: DataFrame, pixels: DataFrame, affine: Sequence[float],
 
 # ---- polygons: one row per ring (poly_id, part_id, xs, ys) ----
 
+RING = ["poly_id", "part_id", "_ring"]
+
 
 def _edges() -> Column:
     """Consecutive corners of ring columns xs, ys; the ring is closed if open."""
@@ -129,22 +131,76 @@ def _edges() -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("xs") - 1), edge)
 
 
-def valid_polygons(polys: DataFrame) -> DataFrame:
-    """Rings with at least three distinct finite corners and an area."""
-    corners = F.array_distinct(F.arrays_zip("xs", "ys"))
+def _rings(polys: DataFrame) -> DataFrame:
+    """Rings with a key of their own, so that rings of one name are told apart."""
+    return polys.withColumn("_ring", F.xxhash64("poly_id", "part_id", "xs", "ys"))
+
+
+def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """On which side of the line from a to b the point p lies: 1, 0, -1."""
+    return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+
+def _in_box(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    return px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
+
+
+def crossing_rings(rings: DataFrame) -> DataFrame:
+    """``_ring`` of the rings (rows of finite corners with ``_ring``) that meet themselves: edges that cross, touch or run back.
+
+    Edges are listed under the cells of a grid that they pass; the cell's side is the ring's mean edge, so a
+    ring lists about four cells for each edge, however its edges are spread. Only edges of a
+    common cell are tested, by the sides on which their ends lie. Repeated corners are no edges.
+    """
+    e = F.filter(_edges(), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    kept = rings.select("_ring", e.alias("_e")).withColumn("_n", F.size("_e"))
+    span = F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"]))
+    side = F.col("_side")
+    flat = kept.withColumn("_side", span / F.col("_n")).select("_ring", "_n", "_side", F.posexplode("_e").alias("i", "e")).select("_ring", "_n", "_side", "i", "e.*")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    column = flat.withColumn("_cx", F.explode(F.sequence(F.floor(F.least(x1, x2) / side), F.floor(F.greatest(x1, x2) / side))))
+    slope = F.coalesce(F.try_divide(y2 - y1, x2 - x1), F.lit(0.0))
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+
+    def at(x: Column) -> Column:
+        return F.when(x1 == x2, F.lit(None)).otherwise(F.least(high, F.greatest(low, y1 + (x - x1) * slope)))
+
+    # Where the edge enters and leaves the column, a little more for rounding.
+    a, b = at(F.col("_cx") * side), at((F.col("_cx") + 1) * side)
+    bottom, top = F.coalesce(F.least(a, b), low) - side / 1024, F.coalesce(F.greatest(a, b), high) + side / 1024
+    listed = column.withColumn("_cy", F.explode(F.sequence(F.floor(bottom / side), F.floor(top / side))))
+    second = listed.select("_ring", "_cx", "_cy", F.col("i").alias("j"), *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")])
+    p, q, r, s = (x1, y1), (x2, y2), (F.col("bx1"), F.col("by1")), (F.col("bx2"), F.col("by2"))
+    o1, o2, o3, o4 = _side(*p, *q, *r), _side(*p, *q, *s), _side(*r, *s, *p), _side(*r, *s, *q)
+    cross = (o1 * o2 < 0) & (o3 * o4 < 0)
+    touch = reduce(lambda u, v: u | v, [
+        (o == 0) & _in_box(*line, *spot) for o, line, spot in ((o1, (*p, *q), r), (o2, (*p, *q), s), (o3, (*r, *s), p), (o4, (*r, *s), q))
+    ])
+
+    def back(corner: tuple, one: tuple, other: tuple) -> Column:
+        """Two edges from one corner that run the same way."""
+        along = (one[0] - corner[0]) * (other[0] - corner[0]) + (one[1] - corner[1]) * (other[1] - corner[1])
+        return (_side(*corner, *one, *other) == 0) & (along > 0)
+
+    follows, closes = F.col("j") == F.col("i") + 1, (F.col("i") == 0) & (F.col("j") == F.col("_n") - 1)
+    meets = F.when(follows, back(q, p, s)).when(closes, back(p, q, r)).otherwise(cross | touch)
+    return listed.join(second, ["_ring", "_cx", "_cy"]).where(F.col("i") < F.col("j")).where(meets).select("_ring").distinct()
+
 
+def valid_polygons(polys: DataFrame) -> DataFrame:
+    """Rings with at least three distinct finite corners and an area that nowhere cross or touch themselves."""
     def finite(c: str) -> Column:
         return F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
 
     area = F.aggregate(
         _edges(), F.lit(0.0), lambda acc, e: acc + (e["x1"] * e["y2"] - e["x2"] * e["y1"])
     )
-    return (
+    whole = _rings(
         polys.where(F.col("xs").isNotNull() & F.col("ys").isNotNull() & (F.size("xs") == F.size("ys")))
         .where(finite("xs") & finite("ys"))
-        .where(F.size(corners) >= 3)
-        .where(area != 0)
+        .where(area != 0)  # so there are three corners
     )
+    return whole.join(crossing_rings(whole), "_ring", "left_anti").select(*polys.columns)
 
 
 def polygons_to_utm(polys: DataFrame) -> DataFrame:
@@ -153,70 +209,96 @@ def polygons_to_utm(polys: DataFrame) -> DataFrame:
     return polys.withColumn("_xy", xy).withColumns({"xs": F.col("_xy.x"), "ys": F.col("_xy.y")}).drop("_xy")
 
 
-def _on_edge(x: Column, y: Column) -> Column:
-    def hit(e: Column) -> Column:
-        cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-        return (
-            (cross == 0)
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
-
-    return F.exists("_edges", hit)
+# A slab of a ring holds about this many of its edges, if they are short.
+EDGES_PER_SLAB = 16
+# Steps around a point on a border: far below any map's resolution, far above
+# the rounding of its coordinates.
+STEP = 2.0**-24
+AROUND = [(math.cos(math.pi * (k + 0.5) / 8), math.sin(math.pi * (k + 0.5) / 8)) for k in range(16)]
+ALL_SIDES = 2 ** len(AROUND) - 1
 
 
-def _ray_cast(x: Column, y: Column) -> Column:
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        at = e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"])
-        return F.when(spans & (x < at), 1).otherwise(0)
+def _ends() -> tuple[Column, Column, Column, Column]:
+    return F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2")
 
-    return F.aggregate("_edges", F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
 
+def _meet_edges(points: DataFrame, x: str, y: str, polys: DataFrame, reach: float, bucket: float) -> DataFrame:
+    """Distinct points with the edges, one a row, that matter to them: of each ring whose box, grown by ``reach``, holds the
+    point, those at its height (or within reach of it) and not left of it.
 
-def _edge_distance(x: Column, y: Column) -> Column:
-    def dist(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        along = F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy)
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(along, F.lit(0.0))))
-        return euclid(x, y, e["x1"] + t * dx, e["y1"] + t * dy)
-
-    return F.array_min(F.transform("_edges", dist))
-
-
-def _match_polygons(points: DataFrame, x: str, y: str, polys: DataFrame, reach: float, bucket: float) -> DataFrame:
-    """Distinct points with each ring whose box, grown by ``reach``, holds them."""
-    r = F.lit(float(reach))
-    rings = valid_polygons(polys).select("poly_id", "part_id", "xs", "ys").withColumn("_edges", _edges())
-    x0, x1 = F.array_min("xs") - r, F.array_max("xs") + r
-    y0, y1 = F.array_min("ys") - r, F.array_max("ys") + r
-    boxes = _bucket_boxes(rings, x0, x1, y0, y1, bucket).drop("xs", "ys")
+    Each ring is cut into horizontal slabs of its own height, so that about 16 of its edges touch one and all slabs
+    together list no more than a few rows for each edge. A point is in one slab; no row or task
+    holds a whole ring.
+    """
+    # Used for boxes and for edges.
+    rings = materialise(_rings(valid_polygons(polys)).select(*RING, "xs", "ys"), "rings")
+    n, y0, y1 = F.size("xs"), F.array_min("ys"), F.array_max("ys")
+    rise = F.aggregate(_edges(), F.lit(0.0), lambda acc, e: acc + F.abs(e["y2"] - e["y1"]))
+    far = F.greatest(F.lit(1.0), *[F.abs(f(c)) for f in (F.array_min, F.array_max) for c in ("xs", "ys")])
+    framed = rings.select(
+        *RING, "xs", "ys", y0.alias("_y0"), F.greatest((y1 - y0) * EDGES_PER_SLAB / n, rise / (4 * n), F.lit(2.0 * reach)).alias("_h"),
+        # Room for the steps around a point.
+        (F.lit(float(reach)) + far * F.lit(4 * STEP)).alias("_pad"),
+    )
+    x0, x1 = F.array_min("xs") - F.col("_pad"), F.array_max("xs") + F.col("_pad")
+    boxes = _bucket_boxes(framed, x0, x1, y0 - F.col("_pad"), y1 + F.col("_pad"), bucket).select(*RING, "_y0", "_h", x0.alias("_x0"), x1.alias("_x9"), "_bx", "_by")
     spots = _bucket_points(points.select(x, y).distinct(), x, y, bucket)
-    return _bucket_join(spots, boxes)
+    near = _bucket_join(spots, boxes).where(F.col(x).between(F.col("_x0"), F.col("_x9")))
+    near = near.select(x, y, *RING, F.floor((F.col(y) - F.col("_y0")) / F.col("_h")).alias("_slab"))
 
+    edges = framed.select("_ring", "_y0", "_h", "_pad", F.explode(_edges()).alias("e")).select("*", *[F.col(f"e.{c}").alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
+    ax, ay, bx, by = _ends()
+
+    def slab(v: Column) -> Column:
+        return F.floor((v - F.col("_y0")) / F.col("_h"))
+
+    edges = edges.withColumn("_slab", F.explode(F.sequence(slab(F.least(ay, by) - F.col("_pad")), slab(F.greatest(ay, by) + F.col("_pad")))))
+    edges = edges.select("_ring", "_slab", "_x1", "_y1", "_x2", "_y2", (F.greatest(ax, bx) + F.col("_pad")).alias("_right"))
+    return near.join(edges, ["_ring", "_slab"]).where(F.col(x) <= F.col("_right"))
 
-# Steps around a point on a border: far below any map's resolution, far above
-# the rounding of its coordinates.
-STEP = 2.0**-24
-AROUND = [(math.cos(math.pi * (k + 0.5) / 8), math.sin(math.pi * (k + 0.5) / 8)) for k in range(16)]
-ALL_SIDES = 2 ** len(AROUND) - 1
 
+def _crosses(x: Column, y: Column) -> Column:
+    """Whether the edge crosses the ray from a point to the right."""
+    x1, y1, x2, y2 = _ends()
+    at = x1 + F.try_divide((x2 - x1) * (y - y1), y2 - y1)
+    return ((y1 > y) != (y2 > y)) & F.coalesce(x < at, F.lit(False))
 
-def _sides_inside(x: Column, y: Column) -> Column:
-    """One bit for each direction: whether the ring holds the spot a step away.
-    Only a point on the ring itself is looked at from all sides."""
+
+def _on_edge(x: Column, y: Column) -> Column:
+    x1, y1, x2, y2 = _ends()
+    return (_side(x1, y1, x2, y2, x, y) == 0) & _in_box(x1, y1, x2, y2, x, y)
+
+
+def _edge_distance(x: Column, y: Column) -> Column:
+    x1, y1, x2, y2 = _ends()
+    dx, dy = x2 - x1, y2 - y1
+    along = F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy)
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(along, F.lit(0.0))))
+    return euclid(x, y, x1 + t * dx, y1 + t * dy)
+
+
+def _crossed_sides(x: Column, y: Column) -> Column:
+    """One bit for each direction: whether the edge crosses the ray of the spot a step away. Only an edge close to the
+    point or its ray is looked at from all sides; it is alike for all others."""
+    x1, y1, x2, y2 = _ends()
     step = F.lit(STEP) * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
-    bits = [F.when(_ray_cast(x + step * F.lit(dx), y + step * F.lit(dy)), F.lit(1 << k)).otherwise(0) for k, (dx, dy) in enumerate(AROUND)]
-    every = F.when(_ray_cast(x, y), F.lit(ALL_SIDES)).otherwise(0)
-    return F.when(_on_edge(x, y), reduce(lambda a, b: a + b, bits)).otherwise(every)
+    slope = F.try_divide(x2 - x1, y2 - y1)
+    close = (F.abs(y1 - y) <= 2 * step) | (F.abs(y2 - y) <= 2 * step) | F.coalesce(F.abs(x1 + slope * (y - y1) - x) <= 2 * step * (1 + F.abs(slope)), F.lit(False))
+    bits = [F.when(_crosses(x + step * F.lit(dx), y + step * F.lit(dy)), F.lit(1 << k)).otherwise(0) for k, (dx, dy) in enumerate(AROUND)]
+    return F.when(close, reduce(lambda a, b: a + b, bits)).when(_crosses(x, y), F.lit(ALL_SIDES)).otherwise(0)
 
 
-def _in_union(matched: DataFrame, x: str, y: str, *more: Column) -> DataFrame:
+def _in_union(met: DataFrame, x: str, y: str, *more: Column) -> DataFrame:
     """Per point: ``_inside`` the dissolved polygons. Rings of one polygon cut
     holes into each other (even-odd), and a point on a border that two polygons
-    share has one of them on every side."""
-    sides = matched.groupBy(x, y, "poly_id").agg(F.bit_xor(_sides_inside(F.col(x), F.col(y))).alias("_sides"), *more)
-    kept = [F.min(c).alias(c) for c in sides.columns if c not in (x, y, "poly_id", "_sides")]
+    share has one of them on every side. Crossings are summed per ring, so the parts of a ring need no order."""
+    px, py = F.col(x), F.col(y)
+    rings = met.groupBy(x, y, *RING).agg(
+        F.bit_xor(_crossed_sides(px, py)).alias("_sides"), F.bit_xor(F.when(_crosses(px, py), F.lit(ALL_SIDES)).otherwise(0)).alias("_odd"), F.max(_on_edge(px, py)).alias("_border"), *more
+    )
+    kept = [F.min(c).alias(c) for c in rings.columns if c not in (x, y, *RING, "_sides", "_odd", "_border")]
+    # Only a point on the ring itself differs from side to side.
+    sides = rings.groupBy(x, y, "poly_id").agg(F.bit_xor(F.when(F.col("_border"), F.col("_sides")).otherwise(F.col("_odd"))).alias("_sides"), *kept)
     return sides.groupBy(x, y).agg((F.bit_or("_sides") == ALL_SIDES).alias("_inside"), *kept)
 
 
@@ -227,8 +309,8 @@ def within_polygon(df: DataFrame, x: str, y: str, polys: DataFrame, bucket: floa
     The test runs once per distinct coordinate. The matching coordinates are
     written out, so a short list is broadcast and the rows are not shuffled.
     """
-    hits = _in_union(_match_polygons(df, x, y, polys, 0.0, bucket), x, y).where("_inside")
-    return df.join(materialise(hits.select(x, y).distinct(), "inside"), [x, y], "left_semi")
+    hits = _in_union(_meet_edges(df, x, y, polys, 0.0, bucket), x, y).where("_inside")
+    return df.join(materialise(hits.select(x, y).distinct(), "inside"), [x, y], "left_semi").select(*df.columns)
 
 
 def within_distance_of_polygon(
@@ -237,11 +319,10 @@ def within_distance_of_polygon(
 ) -> DataFrame:
     """Rows inside the dissolved polygons or at most ``distance`` from its border, and inside
     the region. Everything in the same metric projection."""
-    px, py = F.col(x), F.col(y)
-    matched = _match_polygons(df, x, y, polys, distance, bucket)
-    near = _in_union(matched, x, y, F.min(_edge_distance(px, py)).alias("_far"))
+    met = _meet_edges(df, x, y, polys, distance, bucket)
+    near = _in_union(met, x, y, F.min(_edge_distance(F.col(x), F.col(y))).alias("_far"))
     near = near.where(F.col("_inside") | (F.col("_far") <= F.lit(float(distance))))
-    kept = df.join(materialise(near.select(x, y).distinct(), "near"), [x, y], "left_semi")
+    kept = df.join(materialise(near.select(x, y).distinct(), "near"), [x, y], "left_semi").select(*df.columns)
     return kept if region is None else within_polygon(kept, x, y, region, bucket)
 
 
