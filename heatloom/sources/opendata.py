@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import dedup_keep_last
-from ..operators.tables import append_aligned, incremental_since
+from ..operators.tables import append_aligned
+from . import store
 from .tables import exists
 
 ID = ":id"
@@ -57,12 +58,21 @@ def latest_records(df: DataFrame) -> DataFrame:
 
 
 def next_part(spark: SparkSession, root: str) -> int:
-    """Number that follows the last stored part; 0 when there is none. Parts
-    are partition folders, so this reads no data files."""
+    """Number that follows the last stored part or commit; 0 when there is none.
+    Parts are folders and commits are ledger entries: only their names are read."""
     if not exists(spark, root):
         return 0
-    last = spark.read.parquet(root).agg(F.max("part").alias("m")).first()["m"]
-    return 0 if last is None else last + 1
+    if exists(spark, f"{root}/ledger"):
+        names, start, end = _names(spark, f"{root}/ledger"), "", ".json"
+    else:
+        names, start, end = _names(spark, root), "part=", ""
+    found = [n.removeprefix(start).removesuffix(end) for n in names if n.startswith(start) and n.endswith(end)]
+    return max((int(n) + 1 for n in found if n.isdigit()), default=0)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
 
 
 def append_parts(df: DataFrame, root: str) -> int:
@@ -72,9 +82,19 @@ def append_parts(df: DataFrame, root: str) -> int:
     return part
 
 
-def load_increment(new: DataFrame, root: str) -> DataFrame:
-    """Adds only rows newer than what is stored; returns the current table."""
+#: Partitions of a store by a hash of the id; an increment rewrites those that its ids fall into.
+ID_BUCKETS = 64
+
+
+def load_increment(new: DataFrame, root: str, buckets: int = ID_BUCKETS) -> DataFrame:
+    """Merges only rows newer than what is stored, one row per id; returns the current table.
+
+    How far the stored rows go is known from the ledger of :mod:`.store`; the
+    stored rows themselves are read only in the buckets that get new ones. A
+    store keeps the number of buckets it began with.
+    """
     spark = new.sparkSession
-    fresh = incremental_since(new, spark.read.parquet(root), UPDATED) if exists(spark, root) else new
-    append_parts(fresh, root)
-    return latest_records(spark.read.parquet(root).drop("part"))
+    mark = store.last_entry(spark, root)["mark"]
+    fresh = new if mark is None else new.where(F.col(f"`{UPDATED}`") > F.lit(mark))
+    store.commit(fresh, root, [ID], [UPDATED], F.pmod(F.xxhash64(ID), F.lit(buckets)), mark=UPDATED)
+    return store.read_store(spark, root)
