@@ -136,14 +136,12 @@ def _(s, d):
     return errors
 
 
-@query("m4_predict", f"""WITH {HOURLY}, {CELLS} SELECT time, weatherStation, true AS predicted
-FROM (SELECT DISTINCT time FROM hourly WHERE weatherStation IN ('{"', '".join(STATIONS)}')), cellgrid""")
+@query("m4_predict")
 def _(s, d):
     hr, lr, static = _training(s, d)
     hours = downscale.training_hours(hr, lr)
     fitted, _, lr_stats, hr_stats = downscale.fit_downscaling(hr, lr, static, VARS, STATIONS, PARAMS, hours, validation_hours=50)
-    out = downscale.predict_grid(fitted, lr, static, lr_stats, hr_stats, VARS, STATIONS)
-    return out.select("time", "weatherStation", (F.col("airTemperature").isNotNull() & F.col("relativeHumidity").isNotNull()).alias("predicted"))
+    return downscale.predict_grid(fitted, lr, static, lr_stats, hr_stats, VARS, STATIONS).select("time", "weatherStation", *VARS)
 
 
 # Written out, so that a changed list in the flows shows.

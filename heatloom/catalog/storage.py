@@ -52,6 +52,25 @@ def _(s, d):
     return opendata.read_csv_strings(s, path)
 
 
+@query("s3_pages_of_many_headers", """SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 4 < 3 THEN c_name END AS name,
+  CASE WHEN c_custkey % 4 = 1 THEN CAST(c_acctbal AS VARCHAR) END AS first_balance, CASE WHEN c_custkey % 4 = 2 THEN concat(c_mktsegment, chr(10), 'says "', c_nationkey, '"') END AS second_balance FROM customer""")
+def _(s, d):
+    """Top and nested folders, other orders, compressed pages, and two headers that share their first line."""
+    path = scratch_path(s, "pages")
+    c = v.table(s, d, "customer")
+    pages = {
+        "": ("c_custkey % 4 = 0", ["c_custkey AS id", "c_name AS name"], None),
+        "a": ("c_custkey % 4 = 1", ["c_name AS name", "c_custkey AS id", "c_acctbal AS `bal\nfirst`"], "gzip"),
+        "a/b": ("c_custkey % 4 = 2", ["c_name AS name", "c_custkey AS id", "concat(c_mktsegment, '\n', 'says \"', c_nationkey, '\"') AS `bal\n""second`"], None),
+        "c": ("c_custkey % 4 = 3", ["c_custkey AS id"], "gzip"),
+    }
+    for folder, (keep, columns, compression) in pages.items():
+        out = c.where(keep).selectExpr(*columns).repartition(2).write.option("header", True).option("escape", '"').mode("append")
+        (out.option("compression", compression) if compression else out).csv(f"{path}/{folder}")
+    got = opendata.read_csv_strings(s, path)
+    return got.select("id", "name", F.col("`bal\nfirst`").alias("first_balance"), F.col("`bal\nsecond`").alias("second_balance"))
+
+
 def _records(s, d):
     return v.table(s, d, "orders").selectExpr(
         "CAST(o_orderkey % 3000 AS STRING) AS `:id`",

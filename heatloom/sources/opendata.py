@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import dedup_keep_last
 from ..operators.tables import append_aligned
+from ..session import materialise
 from . import store
 from .tables import exists
 
@@ -16,40 +18,59 @@ ID = ":id"
 UPDATED = ":updated_at"
 
 
+CSV = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": True}
+
+
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """CSV pages with every column as text; missing columns are null.
 
-    Quotes are doubled inside quoted values, which may hold line breaks. Pages
-    of a folder are read in one scan for each distinct header, by name.
+    Quotes are doubled inside quoted values and names, which may hold line breaks. All pages below
+    a folder are read, compressed ones too, in one scan for each distinct header, by name.
     """
     return read_pages(spark, [path])
 
 
-def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files below a path by their first line; only that line is read here."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-    found: dict[str, list[str]] = {}
-    for root in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path)) or []:
-        for status in fs.listStatus(root.getPath()):
-            name = status.getPath().getName()
-            if status.isFile() and not name.startswith(("_", ".")):
-                reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
-                found.setdefault(reader.readLine() or "", []).append(status.getPath().toString())
-                reader.close()
-    return found
+def page_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file and header of every page below the paths: the text of its first record, with its line breaks.
+
+    One scan of lines, of which each file keeps its first. Only files whose
+    lines so far leave a quote open are looked at again, four times as far. Empty pages have no row.
+    """
+    def lines(files: list[str]) -> DataFrame:
+        read = spark.read.option("recursiveFileLookup", True).text(files)
+        # Lines of a file's first split are numbered one after the other.
+        numbered = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+        return numbered.where("at = 0")
+
+    def quotes(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("file").agg(F.min_by("value", "n").alias("header")).withColumn("open", quotes(F.col("header")) % 2 == 1)
+
+    def first_of(rows: DataFrame, count: int) -> DataFrame:
+        """The lines up to the one that closes the quote, if it is among so many."""
+        start = rows.groupBy("file").agg(F.min("n").alias("from"))
+        near = rows.join(start, "file").where(F.col("n") < F.col("from") + count)
+        kept = near.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("l"))
+        upto = F.transform("l", lambda _, i: F.array_join(F.slice("l", F.lit(1), i + 1), "\n"))
+        closed = F.get(F.filter(upto, lambda h: quotes(h) % 2 == 0), F.lit(0))
+        return kept.select("file", F.coalesce(closed, F.array_join("l", "\n")).alias("header"), (closed.isNull() & (F.size("l") == count)).alias("open"))
+
+    got = materialise(first(lines(paths)), "headers")
+    done, count = got.where(~F.col("open")), 4
+    while files := [unquote(r["file"]) for r in got.where("open").select("file").collect()]:
+        got = materialise(first_of(lines(files), count), "headers")
+        done, count = done.unionByName(got.where(~F.col("open"))), 4 * count
+    return done.select("file", "header")
 
 
 def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Pages whose columns may differ; missing columns are null."""
-    groups: dict[str, list[str]] = {}
-    for path in paths:
-        for header, files in _headers(spark, path).items():
-            groups.setdefault(header, []).extend(files)
-    groups = {h: f for h, f in groups.items() if h} or groups
-    options = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": True}
-    scans = [spark.read.options(**options).csv(files) for files in groups.values()] or [spark.read.options(**options).csv(paths)]
-    return reduce(append_aligned, scans)
+    groups = page_headers(spark, paths).where("header != ''").groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    # Names of files, as any scan lists them.
+    scans = [spark.read.options(**CSV).csv([unquote(f) for f in r["files"]]) for r in groups.orderBy("header").collect()]
+    return reduce(append_aligned, scans or [spark.read.options(**CSV, recursiveFileLookup=True).csv(paths)])
 
 
 def latest_records(df: DataFrame) -> DataFrame:

@@ -29,6 +29,26 @@ def test_csv_pages(spark, tmp_path):
     assert rows(opendata.read_pages(spark, [str(tmp_path / f"{k}.csv") for k in (1, 2, 3)]), "a", "b") == sorted(expected, key=repr)
 
 
+def test_csv_pages_of_folders_and_long_headers(spark, tmp_path):
+    import gzip
+
+    long = "\n".join(f'line {k} ""of"" a name' for k in range(40))
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "deep").mkdir()
+    (tmp_path / "1.csv").write_text('k,"x\ny"\n1,one\n')
+    (tmp_path / "2.csv").write_text('k,"x\nz"\n2,"two\nlines"\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "never.csv").write_text('k,"open\n3,4\n')
+    (tmp_path / "a b" / "3.csv").write_text(f'k,"{long}"\n3,three\n')
+    with gzip.open(tmp_path / "a b" / "deep" / "4.csv.gz", "wt") as f:
+        f.write('"x\ny",k\nfour,4\n')
+    got = opendata.read_csv_strings(spark, str(tmp_path))
+    name = long.replace('""', '"')
+    values = {r["k"]: (r["x\ny"], r["x\nz"], r[name]) for r in got.collect() if r["k"]}
+    assert values == {"1": ("one", None, None), "2": (None, "two\nlines", None), "3": (None, None, "three"), "4": ("four", None, None)}
+    assert opendata.page_headers(spark, [str(tmp_path)]).count() == 5
+
+
 def test_nan_is_null_on_read(spark, tmp_path):
     spark.createDataFrame([(1, float("nan")), (2, 1.5)], "k int, value double").write.parquet(str(tmp_path / "v"))
     assert rows(tables.read_gridded(spark, {"t": str(tmp_path / "v")}, ["k"])) == [(1, None), (2, 1.5)]
