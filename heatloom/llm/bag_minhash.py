@@ -30,8 +30,9 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _points(element, low, size, turn, components):
-    """Waiting time, component and weight of the next point of each process."""
-    seed = text.mix(element ^ text.mix((low << np.uint64(40)) + (size << np.uint64(20)) + turn + np.uint64(1)))
+    """Waiting time, component and weight of the next point of each process. Twice its middle tells an interval from all others."""
+    middle = (low << np.uint64(1)) + size
+    seed = text.mix(element ^ text.mix((middle << np.uint64(24)) + turn + np.uint64(1)))
     wait = -np.log(((seed >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / size
     other = text.mix(seed + _GOLDEN)
     component = ((other >> np.uint64(32)) * np.uint64(components)) >> np.uint64(32)
@@ -40,10 +41,11 @@ def _points(element, low, size, turn, components):
 
 
 def signatures(bags: text.Shingles, rows: int, components: int = BANDS * ROWS) -> np.ndarray:
-    """Time of the earliest point of each component, by row; infinite for an empty bag."""
+    """Time of the earliest point of each component, by row; infinite for an empty bag. Counts are below 2**32: no text has more words."""
     least = np.full((rows, components), np.inf)
     # The dyadic intervals that begin below the count.
-    levels = [(np.uint64(0), np.uint64(1))] + [(np.uint64(1 << k), np.uint64(1 << k)) for k in range(19)]
+    most = int(bags.count.max()) if len(bags.count) else 0
+    levels = [(np.uint64(0), np.uint64(1))] + [(np.uint64(1 << k), np.uint64(1 << k)) for k in range(max(0, most - 1).bit_length())]
     parts = [np.flatnonzero(bags.count > int(low)) for low, _ in levels]
     of = np.concatenate(parts)
     low = np.repeat(np.array([x[0] for x in levels]), [len(p) for p in parts])
