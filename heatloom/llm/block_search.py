@@ -4,17 +4,19 @@ Vectors are packed into blocks. Every query block meets every candidate block in
 a tile: the product of the int8 codes gives distances that are wrong by at most
 the sum of both vectors' quantisation errors, so only candidates whose lower
 bound is within the k-th smallest upper bound are computed again on the original
-vectors. Tiles keep k rows for each query, which are merged by ranked groups.
+vectors. Tiles keep k rows for each query, which are merged by heaps of k: once in
+the task that made them, once where all rows of a query meet.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.session import materialise
@@ -84,6 +86,38 @@ def _tiles(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[row], q_keys[row], c_ids[at], score)], ["query_id", "query_key", "vec_id", "score"])
 
 
+#: Heaps that a task keeps before it hands the finished ones on.
+HEAPS = 50_000
+
+
+def _merge(k: int, ranked: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each query: a heap for each, the worst of its rows on top.
+
+    Where the rows of a query follow each other, all heaps but the last are finished at any time; where they do not,
+    handing them on early only leaves more rows to the next merge.
+    """
+    heaps: dict[tuple[int, int], list[tuple[float, int]]] = {}
+
+    def emit(keys: list[tuple[int, int]]) -> pa.RecordBatch:
+        rows = [(*key, -vec, -score, rank) for key in keys for rank, (score, vec) in enumerate(sorted(heaps.pop(key), reverse=True), 1)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())[: 5 if ranked else 4]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "query_key", "vec_id", "score", "rank"][: len(kinds)])
+
+    for batch in batches:
+        key = None
+        for query, own, vec, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = (query, own)
+            heap, row = heaps.setdefault(key, []), (-score, -vec)
+            if len(heap) < k:
+                heapq.heappush(heap, row)
+            elif row > heap[0]:
+                heapq.heapreplace(heap, row)
+        if len(heaps) > HEAPS:
+            yield emit([x for x in heaps if x != key])
+    yield emit(list(heaps))
+
+
 def _pack(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Blocks of about ``size`` vectors of one dimension, and how many blocks each dimension has."""
     cuts = rows.groupBy(F.col("dim").alias("c_dim")).agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
@@ -109,10 +143,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: in
     # Each query block is sent to each candidate block of its dimension.
     sent = queries.join(cuts, F.col("dim") == F.col("c_dim")).select(F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q_block"), "q")
     met = sent.join(vectors, (F.col("dim") == F.col("q_dim")) & (F.col("block") == F.col("q_block")))
-    found = met.select("q", "c").mapInArrow(partial(_tiles, k), TILE)
-    # Every task drops what is beyond its own k best before the rows are sent on.
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met.select("q", "c").mapInArrow(partial(_tiles, k), TILE).mapInArrow(partial(_merge, k, False), TILE)
+    placed = found.repartition("query_id", "query_key").sortWithinPartitions("query_id", "query_key")
+    return placed.mapInArrow(partial(_merge, k, True), f"{TILE}, rank int").select("query_id", "rank", "vec_id", "score")
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
