@@ -4,6 +4,8 @@ The vocabulary is a trie with two roots: pieces that begin a word and pieces
 that go on with it. Where no child fits, a node's failure link leads to the node
 reached after its longest-match pieces are taken off, and a count says how many
 those are. Each byte moves on or takes a link, so the work is linear in the text.
+A script without breaks is one word to a page; long words are therefore walked
+in many parts at once, which costs about as much for a byte as short words.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from heatloom.llm import text
 from heatloom.llm.tokens import default_tokenizer
 
 START, GO_ON, NONE = 0, 1, -1
+#: Words of more than two such parts are cut into parts of this many bytes.
+PART = 64
+#: So many times all parts are set right at once; those still out of step follow one by one.
+ROUNDS = 3
 COUNTS = "doc_id long, n_words long, n_pieces long, n_unknown long"
 
 
@@ -75,7 +81,7 @@ class Automaton:
                     at, taken = link[at], taken + count[at]
                 if at != NONE:
                     link[child], count[child] = children[at][byte], taken
-        self.link, self.count = np.array(link), np.array(count)
+        self.link, self.count, self.steps = np.array(link), np.array(count), {}
         edges = [(node << 8 | byte, child) for node, own in enumerate(children) for byte, child in own.items()]
         self._file(np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64))
 
@@ -109,32 +115,123 @@ class Automaton:
             go = go[~hit & (found != -1)]
         return out
 
+    def _step(self, at: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes after one more byte, and how many pieces each took off."""
+        at, taken = at.copy(), np.zeros(len(at), np.int64)
+        to = self.child(at, byte)
+        stuck = np.flatnonzero((to == NONE) & (at != NONE))
+        while len(stuck):
+            taken[stuck] += self.count[at[stuck]]
+            at[stuck] = self.link[at[stuck]]
+            stuck = stuck[at[stuck] != NONE]
+            to[stuck] = self.child(at[stuck], byte[stuck])
+            stuck = stuck[to[stuck] == NONE]
+        return np.where(at == NONE, NONE, to), taken
+
     def pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Pieces of every word, or -1 where the vocabulary can't spell it. Words are not empty."""
-        total = np.zeros(len(start), np.int64)
-        node = np.full(len(start), START)
-        order = np.argsort(start - end, kind="stable")  # longest first, so the active words stay in front
-        begin, size = start[order], (end - start)[order]
-        for k in range(int(size[0]) if len(size) else 0):
-            n = int(np.searchsorted(-size, -k, "left"))  # longer than k
-            at, byte, to = node[:n], data[begin[:n] + k].astype(np.int64), None
-            to = self.child(at, byte)
-            stuck = np.flatnonzero((to == NONE) & (at != NONE))
-            while len(stuck):
-                total[stuck] += self.count[at[stuck]]
-                at[stuck] = self.link[at[stuck]]
-                stuck = stuck[at[stuck] != NONE]
-                to[stuck] = self.child(at[stuck], byte[stuck])
-                stuck = stuck[to[stuck] == NONE]
-            node[:n] = np.where(at == NONE, NONE, to)
-        rest = np.flatnonzero((node != NONE) & (node != GO_ON))
+        """Pieces of every word, or -1 where the vocabulary can't spell it. Words are not empty.
+
+        All words go on a byte at a time. A long one is cut into parts that all start at once, as if a
+        piece ended at each cut; what came before a part then sets it right, for
+        the few bytes until it is in the node where it was without it.
+        """
+        size = end - start
+        parts = np.where(size > 2 * PART, -(-size // PART), 1)
+        word = np.repeat(np.arange(len(start)), parts)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = start[word] + nth * PART
+        length = np.where(parts[word] == 1, size[word], np.minimum(end[word] - begin, PART))
+        node, total = np.where(nth == 0, START, GO_ON), np.zeros(len(word), np.int64)
+        cut = np.flatnonzero(nth > 0)  # these remember their way
+        spot = np.full(len(word), -1)
+        spot[cut] = np.arange(len(cut))
+        way, sums = np.full((len(cut), PART), NONE), np.zeros((len(cut), PART), np.int64)
+        order = np.argsort(-length, kind="stable")  # longest first, so the active ones stay in front
+        lengths = -length[order]
+        for k in range(int(length.max()) if len(length) else 0):
+            row = order[: int(np.searchsorted(lengths, -k, "left"))]  # longer than k
+            node[row], taken = self._step(node[row], data[begin[row] + k].astype(np.int64))
+            total[row] += taken
+            own = row[spot[row] >= 0]
+            if len(own):
+                way[spot[own], k], sums[spot[own], k] = node[own], total[own]
+        lost = np.zeros(len(start), bool)
+        for turn in range(ROUNDS):
+            came = node[cut - 1]
+            if not turn:  # entered as they began
+                cut, came = cut[came != GO_ON], came[came != GO_ON]
+            lost[word[cut[came == NONE]]] = True
+            cut, came = cut[~lost[word[cut]]], came[~lost[word[cut]]]
+            cut = self._set_right(data, begin, length, node, total, cut, came, spot, way, sums) + 1
+            cut = cut[cut < len(word)]
+            cut = cut[nth[cut] > 0]
+        self._set_right_in_order(data, begin, length, node, total, cut, word, nth, spot, way, sums, lost)
+        last = np.cumsum(parts) - 1
+        state, out = node[last] if len(last) else node, np.bincount(word, total, len(start)).astype(np.int64)
+        state = np.where(lost, NONE, state)
+        rest = np.flatnonzero((state != NONE) & (state != GO_ON))
         while len(rest):
-            total[rest] += self.count[node[rest]]
-            node[rest] = self.link[node[rest]]
-            rest = rest[(node[rest] != NONE) & (node[rest] != GO_ON)]
-        out = np.empty_like(total)
-        out[order] = np.where(node == NONE, -1, total)
-        return out
+            out[rest] += self.count[state[rest]]
+            state[rest] = self.link[state[rest]]
+            rest = rest[(state[rest] != NONE) & (state[rest] != GO_ON)]
+        return np.where(state == NONE, -1, out)
+
+    def _set_right(self, data, begin, length, node, total, cut, came, spot, way, sums) -> np.ndarray:
+        """Walks parts again from the nodes they are really entered in; returns those that end in another node than before."""
+        at, taken, open_ = came.copy(), np.zeros(len(cut), np.int64), np.arange(len(cut))
+        changed = []
+        for k in range(PART):
+            over = length[cut[open_]] <= k
+            ended = open_[over]
+            node[cut[ended]], total[cut[ended]] = at[ended], taken[ended]
+            changed.append(cut[ended])
+            open_ = open_[~over]
+            if not len(open_):
+                break
+            row = cut[open_]
+            at[open_], more = self._step(at[open_], data[begin[row] + k].astype(np.int64))
+            taken[open_] += more
+            mine = spot[row]
+            met = at[open_] == way[mine, k]
+            here = open_[met]
+            ahead = taken[here] - sums[spot[cut[here]], k]
+            total[cut[here]] += ahead
+            sums[spot[cut[here]], k:] += ahead[:, None]
+            way[mine[~met], k], sums[mine[~met], k] = at[open_[~met]], taken[open_[~met]]
+            open_ = open_[~met]
+        else:
+            node[cut[open_]], total[cut[open_]] = at[open_], taken[open_]
+            changed.append(cut[open_])
+        return np.sort(np.concatenate(changed)) if changed else cut[:0]
+
+
+    def _set_right_in_order(self, data, begin, length, node, total, cut, word, nth, spot, way, sums, lost) -> None:
+        """The same for parts that stay out of step (one letter a million times, say): part after part, a byte at a time."""
+        if len(cut) and not self.steps:
+            used = self.keys >= 0
+            self.steps = dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+        steps, link, count, reached = self.steps, self.link.tolist() if len(cut) else [], self.count.tolist() if len(cut) else [], -1
+        for row in cut.tolist():
+            while row > reached and row < len(word) and nth[row] and not lost[word[row]]:
+                reached, at, taken, met = row, int(node[row - 1]), 0, False
+                own = way[spot[row]].tolist()
+                for k, byte in enumerate(data[begin[row] : begin[row] + length[row]].tolist()):
+                    while at != NONE and (to := steps.get(at << 8 | byte, NONE)) == NONE:
+                        taken += count[at]
+                        at = link[at]
+                    if at == NONE:
+                        break
+                    at = to
+                    if at == own[k]:
+                        total[row] += taken - sums[spot[row], k]
+                        met = True
+                        break
+                if at == NONE:
+                    lost[word[row]] = True
+                if met or at == NONE:
+                    break
+                node[row], total[row] = at, taken
+                row += 1
 
 
 _built: dict[tuple[str, bool], Automaton] = {}
