@@ -134,6 +134,34 @@ def test_bag_minhash_estimates_without_bias():
     assert abs(np.mean(errors)) < 4 / np.sqrt(60) and 0.7 < np.std(errors) < 1.3
 
 
+def test_bag_minhash_of_great_counts():
+    """No count is too great: components agree as often as the bags are alike."""
+    for counts, alike in (((600_000, 4_000_000), 0.15), (((4_000_000, 500_000, 0), (4_000_000, 0, 500_000)), 0.8)):
+        bags = [c if isinstance(c, tuple) else (c,) for c in counts]
+        h, row, count = zip(*((text.mix(np.array([k + 7], np.uint64))[0], r, n) for r, bag in enumerate(bags) for k, n in enumerate(bag) if n), strict=True)
+        order = np.lexsort((h, row))
+        shingles = text.Shingles(*(np.array(x)[order] for x in (h, row, count)))
+        least = bag_minhash.signatures(shingles, 2, 1024)
+        assert abs((least[0] == least[1]).mean() - alike) < 0.06, counts
+
+
+def test_heaps_merge_in_any_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(q), 0, int(v), float(s)) for q, v, s in zip(rng.integers(0, 40, 3000), rng.integers(0, 500, 3000), rng.integers(0, 60, 3000), strict=True)})
+    batches = lambda x: [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*x[k : k + 100], strict=True)], ["query_id", "query_key", "vec_id", "score"]) for k in range(0, len(x), 100)]
+    monkeypatch.setattr(block_search, "HEAPS", 5)
+    mixed = [rows[k] for k in rng.permutation(len(rows))]
+    partly = sorted(r for b in block_search._merge(7, False, iter(batches(mixed))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    found = sorted(r for b in block_search._merge(7, True, iter(batches(partly))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    wanted = []
+    for q in range(40):
+        best = sorted((s, v) for query, _, v, s in rows if query == q)[:7]
+        wanted += [(q, 0, v, s, k + 1) for k, (s, v) in enumerate(best)]
+    assert found == sorted(wanted)
+
+
 def test_links_join_what_is_similar():
     rng = random.Random(2)
     for _ in range(30):

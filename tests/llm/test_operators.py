@@ -16,7 +16,7 @@ from heatloom.llm import bag_minhash, block_search, decontaminate, graph, packin
 from heatloom.session import scratch_path
 from tests.llm.test_kernels import plain_words
 
-TABLES = "documents embeddings pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 LONG = " ".join(f"word{k % 977} of{k % 13}" for k in range(30_000))
 PASSAGE = "The quick brown fox jumps over the lazy dog today. It then sleeps for a very long while under trees. Nobody knows how it came to be so tired at all. " * 1
 PASSAGE += "But the old man by the river has seen it before. He smiles and says nothing when the children ask him why. Then the evening comes and all go home."
@@ -316,7 +316,7 @@ def test_queries_equal_brute_force(spark, data):
 
 def test_entry_registers_all():
     names = entry_module.queries()
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES} and set(queries.QUERIES) < set(names) and "pipeline" in names
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES} and set(queries.QUERIES) < set(names) and "pipeline" in names
 
 
 def test_pipeline(spark, data):

@@ -5,29 +5,14 @@ import itertools
 import random
 import zlib
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatloom.llm import codebooks, conversations, mixing, queries
+from heatloom.llm import codebooks, conversations, mixing
 from heatloom.llm.conversations import ANSWERED, BEGINNING, BLANK, CUT_OFF, DUPLICATE, EMPTY, FINE
 
 
-@pytest.mark.parametrize("name", ["op11_orchard_codes", "op12_pareto_mix", "op13_audit_repair"])
-def test_query_against_sql(spark, data, name):
-    con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    cursor = con.execute(queries.SQL[name])
-    columns = sorted(c[0] for c in cursor.description)
-    places = [[c[0] for c in cursor.description].index(c) for c in columns]
-    expected = sorted((tuple(r[i] for i in places) for r in cursor.fetchall()), key=repr)
-    df = queries.QUERIES[name](spark, data)
-    assert sorted(df.columns) == columns
-    assert sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == expected
-
-
 # ---- vector codes ----
 
 
