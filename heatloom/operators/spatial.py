@@ -184,7 +184,9 @@ def crossing_rings(rings: DataFrame) -> DataFrame:
 
     follows, closes = F.col("j") == F.col("i") + 1, (F.col("i") == 0) & (F.col("j") == F.col("_n") - 1)
     meets = F.when(follows, back(q, p, s)).when(closes, back(p, q, r)).otherwise(cross | touch)
-    return listed.join(second, ["_ring", "_cx", "_cy"]).where(F.col("i") < F.col("j")).where(meets).select("_ring").distinct()
+    pairs = listed.join(second, ["_ring", "_cx", "_cy"]).where(F.col("i") < F.col("j"))
+    # As an aggregate: the optimizer takes long over so large a join condition.
+    return pairs.groupBy("_ring").agg(F.max(meets).alias("_meets")).where("_meets").select("_ring")
 
 
 def valid_polygons(polys: DataFrame) -> DataFrame:
@@ -200,6 +202,8 @@ def valid_polygons(polys: DataFrame) -> DataFrame:
         .where(finite("xs") & finite("ys"))
         .where(area != 0)  # so there are three corners
     )
+    # Written: it is read three times, and planned once instead of as often.
+    whole = materialise(whole, "whole-rings")
     return whole.join(crossing_rings(whole), "_ring", "left_anti").select(*polys.columns)
 
 
@@ -284,8 +288,9 @@ def _crossed_sides(x: Column, y: Column) -> Column:
     step = F.lit(STEP) * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
     slope = F.try_divide(x2 - x1, y2 - y1)
     close = (F.abs(y1 - y) <= 2 * step) | (F.abs(y2 - y) <= 2 * step) | F.coalesce(F.abs(x1 + slope * (y - y1) - x) <= 2 * step * (1 + F.abs(slope)), F.lit(False))
-    bits = [F.when(_crosses(x + step * F.lit(dx), y + step * F.lit(dy)), F.lit(1 << k)).otherwise(0) for k, (dx, dy) in enumerate(AROUND)]
-    return F.when(close, reduce(lambda a, b: a + b, bits)).when(_crosses(x, y), F.lit(ALL_SIDES)).otherwise(0)
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(1 << k).alias("bit")) for k, (dx, dy) in enumerate(AROUND)])
+    bits = F.aggregate(around, F.lit(0), lambda acc, d: acc + F.when(_crosses(x + step * d["dx"], y + step * d["dy"]), d["bit"]).otherwise(0))
+    return F.when(close, bits).when(_crosses(x, y), F.lit(ALL_SIDES)).otherwise(0)
 
 
 def _in_union(met: DataFrame, x: str, y: str, *more: Column) -> DataFrame:
