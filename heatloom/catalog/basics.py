@@ -199,6 +199,14 @@ query("o4_top_one_by_distance", NEAREST.replace("SELECT name, arg_min", "SELECT
 )
 
 
+@query("j8_k_nearest", f"""WITH {v.GRID}, {v.LOCATIONS}, st AS (SELECT DISTINCT concat(lat, '_', lon) AS weatherStation, lat, lon FROM grid),
+d AS (SELECT name, weatherStation, sqrt((st.lat - l.lat) ** 2 + (st.lon - l.lon) ** 2) AS dist FROM locations l, st)
+SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY dist, weatherStation) AS INTEGER) AS rank, weatherStation, round(dist, 6) + 0.0::double AS dist FROM d QUALIFY rank <= 5""")
+def _(s, d):
+    st = v.grid(s, d).select(keys.station_key(F.col("lat"), F.col("lon")).alias("weatherStation"), "lat", "lon")
+    return rounded(spatial.k_nearest(v.locations(s, d), st, 5), "dist")
+
+
 @query("j14_attach_order", """WITH t AS (SELECT DISTINCT ts AS time FROM events), r AS (
   SELECT time, row_number() OVER (ORDER BY md5(concat(strftime(time, '%Y-%m-%d %H:%M:%S.%f'), '|42')), time) AS position FROM t)
 SELECT event_id, CAST(position AS BIGINT) AS position FROM events JOIN r ON ts = time""")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import heat, model, order, spatial, tables
+from ..operators import heat, model, order, quantile_state, spatial, tables
 from ..plans import indicators
+from ..session import scratch_path
 from . import views as v
 from .registry import query, r6, rounded, sql_r6
 
@@ -151,6 +152,26 @@ QUANTILES = f"""WITH {v.WX}, l AS (SELECT weatherStation, 'airTemperature' AS va
 SELECT weatherStation, variable, round(quantile_cont(x, 0.05), 6) + 0.0::double AS q05, round(quantile_cont(x, 0.95), 6) + 0.0::double AS q95 FROM l GROUP BY 1, 2"""
 
 
+STATE = f"""WITH {v.WX}, long AS (UNPIVOT (SELECT weatherStation, airTemperature, relativeHumidity FROM wx) ON airTemperature, relativeHumidity INTO NAME variable VALUE value),
+state AS (SELECT weatherStation, variable, CASE WHEN value = 0 THEN 0 ELSE sign(value) * floor((log2(abs(value)) + 1100) * 512 + power(2, -20)) END AS bucket, count(*) AS n, min(value) AS least, max(value) AS greatest
+  FROM long WHERE value IS NOT NULL GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY weatherStation, variable ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY weatherStation, variable) AS t FROM state),
+want AS (SELECT *, p * (t - 1) AS pos, least(floor(p * (t - 1)) + step, t - 1) AS k FROM run, (VALUES (0.05::double), (0.95::double)) q(p), (VALUES (0), (1)) w(step)),
+hit AS (SELECT weatherStation, variable, p, step, pos - floor(pos) AS part, least + (greatest - least) * CASE WHEN n = 1 THEN 0 ELSE (k - (c - n)) / (n - 1)::double END AS x FROM want WHERE k >= c - n AND k < c),
+mix AS (SELECT weatherStation, variable, p, max(x) FILTER (step = 0) + (max(x) FILTER (step = 1) - max(x) FILTER (step = 0)) * max(part) AS q FROM hit GROUP BY 1, 2, 3)
+SELECT weatherStation, variable, round(max(q) FILTER (p < 0.5), 6) + 0.0::double AS q05, round(max(q) FILTER (p > 0.5), 6) + 0.0::double AS q95 FROM mix GROUP BY 1, 2"""
+
+
+@query("a5_merged_quantiles", STATE)
+def _(s, d):
+    """Added to the store in three batches, one of them twice."""
+    root = scratch_path(s, "quantile-state")
+    w = v.wx(s, d)
+    for batch in (0, 1, 1, 2):
+        quantile_state.add_to_stored_state(w.where(f"day(time) % 3 = {batch}"), root, str(batch), ["airTemperature", "relativeHumidity"])
+    return rounded(quantile_state.stored_stats(s, root), "q05", "q95")
+
+
 @query("a5_quantile_stats", QUANTILES)
 def _(s, d):
     return rounded(order.quantile_stats(v.wx(s, d), ["airTemperature", "relativeHumidity"]), "q05", "q95")

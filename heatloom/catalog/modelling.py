@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import model, order
-from ..plans import downscale, harmonise
+from ..plans import downscale, harmonise, months
+from ..session import scratch_path
 from . import views as v
 from .basics import DISC_CTE, SUN_CTE
 from .registry import query, r6, rounded, sql_r6
@@ -149,12 +150,12 @@ FORECAST_SMOOTH = ["windSpeed", "windSpeedEast", "windSpeedNorth", "windDirectio
 HIST_MEANS = [*FORECAST_SMOOTH, "dewAirTemperature", "soilTemperature", "soilWaterRatio", "lowVegetationRatio", "highVegetationRatio", "albedo"]
 
 
-def _hist_sql() -> str:
+def _hist_sql(raw: str = v.RAW) -> str:
     w = "OVER (PARTITION BY weatherStation ORDER BY time)"
     named = "u10 AS windSpeedEast, v10 AS windSpeedNorth, lai_lv AS lowVegetationRatio, lai_hv AS highVegetationRatio, tp AS totalPrecipitation, ssrd AS GHI, fal AS albedo, swvl4 AS soilWaterRatio"
     kelvin = "t2m - 273.15::double AS airTemperature, d2m - 273.15::double AS dewAirTemperature, stl4 - 273.15::double AS soilTemperature"
     means = ", ".join(f"CASE WHEN lead(event_id) {w} IS NULL THEN {c} ELSE (lead({c}) {w} + {c}) / 2 END AS {c}" for c in HIST_MEANS)
-    return f"""WITH {v.RAW}, a AS (SELECT event_id, valid_time AS time, concat(latitude, '_', longitude) AS weatherStation, latitude, longitude, {named}, {kelvin},
+    return f"""WITH {raw}, a AS (SELECT event_id, valid_time AS time, concat(latitude, '_', longitude) AS weatherStation, latitude, longitude, {named}, {kelvin},
  sqrt(u10 ** 2 + v10 ** 2) AS windSpeed, (180 + degrees(atan2(u10, v10))) % 360 AS windDirection FROM raw),
 b AS (SELECT *, exp(17.67::double * dewAirTemperature / (dewAirTemperature + 243.5::double)) / exp(17.67::double * airTemperature / (airTemperature + 243.5::double)) AS relativeHumidity FROM a),
 c AS (SELECT event_id, time, weatherStation, latitude, longitude, {means},
@@ -176,6 +177,41 @@ def _(s, d):
     return out.withColumns(five | four | three).select("event_id", "weatherStation", "time", *five, *four, *three)
 
 
+ALL_MONTHS = (199501, 200112)
+
+
+@query("m8_fill_months", f"{_hist_sql(v.DAYS)} SELECT event_id, weatherStation, time, {', '.join(f'round({c}, 5) + 0.0::double AS {c}' for c in HIST_OUT + ['windDirection'])}, round(DNI, 3) + 0.0::double AS DNI, round(DHI, 3) + 0.0::double AS DHI FROM sun")
+def _(s, d):
+    """First a part of the months, then all but a hole, then everything, as history comes in."""
+    root = scratch_path(s, "filled")
+    raw = v.raw_days(s, d)
+    for there in ("valid_time < '1996-03-01'", "year(valid_time) * 100 + month(valid_time) NOT BETWEEN 199705 AND 199707", "true"):
+        months.fill_months(raw.where(there), root, *ALL_MONTHS, months_per_commit=80)
+    five = {c: F.round(c, 5) + 0.0 for c in HIST_OUT + ["windDirection"]}
+    three = {c: F.round(c, 3) + 0.0 for c in ("DNI", "DHI")}
+    return months.read_filled(s, root, *ALL_MONTHS).withColumns(five | three).select("event_id", "weatherStation", "time", *five, *three)
+
+
+FINE_CELLS = """cellgrid AS (SELECT concat('41.', 300 + n_nationkey, '_2.', 100 + n_nationkey) AS weatherStation, CASE WHEN n_nationkey % 2 = 0 THEN '41.2_2.1' ELSE '41.3_2.1' END AS near, n_nationkey * 20.0::double AS elevation FROM nation)"""
+
+
+@query("m4_predict_months", f"{_hist_sql(v.DAYS)}, {FINE_CELLS} SELECT time, cellgrid.weatherStation, CAST(year(time) * 100 + month(time) AS INTEGER) AS ym, round(airTemperature - elevation * 0.0065::double, 5) + 0.0::double AS airTemperature, round(relativeHumidity, 5) + 0.0::double AS relativeHumidity FROM sun JOIN cellgrid ON sun.weatherStation = near")
+def _(s, d):
+    """Months are predicted, then history comes in, then only new and changed months are predicted."""
+    weather, root = scratch_path(s, "filled"), scratch_path(s, "predicted")
+    cells = v.table(s, d, "nation").selectExpr("concat('41.', 300 + n_nationkey, '_2.', 100 + n_nationkey) AS weatherStation", "CASE WHEN n_nationkey % 2 = 0 THEN '41.2_2.1' ELSE '41.3_2.1' END AS near", "n_nationkey * 20.0D AS elevation")
+
+    def score(rows):
+        return downscale.station_baseline(rows, cells)
+
+    raw = v.raw_days(s, d)
+    for there in ("valid_time < '1996-03-01'", "true"):
+        months.fill_months(raw.where(there), weather, *ALL_MONTHS, months_per_commit=80)
+        months.predict_months(s, weather, root, *ALL_MONTHS, score, months_per_write=40)
+    out = s.read.parquet(root)
+    return out.select("time", "weatherStation", "ym", *[(F.round(c, 5) + 0.0).alias(c) for c in VARS])
+
+
 W = "OVER (PARTITION BY weatherStation ORDER BY time)"
 FORE_MEANS = ", ".join(f"CASE WHEN lead(event_id) {W} IS NULL THEN {c} ELSE (lead({c}) {W} + {c}) / 2 END AS {c}" for c in FORECAST_SMOOTH)
 
@@ -194,3 +230,34 @@ def _(s, d):
     return out.withColumns(five | three | {"totalPrecipitation": F.round("totalPrecipitation", 6)}).select(
         "event_id", "weatherStation", *five, "totalPrecipitation", *three
     )
+
+
+RW = "OVER (PARTITION BY weatherStation, issue ORDER BY time)"
+RUN_MEANS = ", ".join(f"CASE WHEN lead(event_id) {RW} IS NULL THEN {c} ELSE (lead({c}) {RW} + {c}) / 2 END AS {c}" for c in VARS)
+
+
+@query("m6_forecast_flow", f"""WITH {v.RAW}, i AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12', INTERVAL 1 DAY)) AS issue),
+a AS (SELECT event_id, issue, valid_time AS time, concat(latitude, '_', longitude) AS weatherStation, t2m - 273.15::double + day(issue) / 10.0::double AS airTemperature, fal AS relativeHumidity
+ FROM raw JOIN i ON valid_time >= issue AND valid_time < issue + INTERVAL 5 DAY WHERE latitude > 41.15 AND latitude < 41.45 AND longitude > 1.85 AND longitude < 2.35),
+b AS (SELECT issue, time, weatherStation, {RUN_MEANS} FROM a)
+SELECT issue + INTERVAL 1 HOUR AS "forecastingTime", time, concat('41.', 300 + n_nationkey, '_2.', 100 + n_nationkey) AS weatherStation, '2024-01-12' AS predicted,
+ round(airTemperature - n_nationkey * 20.0::double * 0.0065::double, 5) + 0.0::double AS airTemperature, round(relativeHumidity, 5) + 0.0::double AS relativeHumidity
+FROM b JOIN nation ON weatherStation = concat(round(41.2::double + 0.1::double * (n_nationkey % 3), 1), '_', round(1.9::double + 0.1::double * (n_nationkey % 5), 1))
+WHERE date_trunc('hour', time) BETWEEN issue + INTERVAL 1 HOUR AND issue + INTERVAL 4 DAY""")
+def _(s, d):
+    """Runs of three days, each of which says something else, to stored predictions on the cells of a box."""
+    issues = s.range(3).selectExpr("timestamp_ntz'2024-01-10' + make_dt_interval(CAST(id AS INT)) AS issued")
+    raw = v.raw(s, d).selectExpr(
+        "event_id", "valid_time AS time", "latitude AS lat", "longitude AS lon", "u10 AS u", "v10 AS v", "t2m AS temp", "fal AS rh", "tp AS prec", "ssrd / 3600 AS swflx"
+    )
+    raw = raw.withColumn("issued", F.explode(F.lit([0, 1, 2, 3, 4]))).selectExpr("* EXCEPT (issued)", "CAST(date_trunc('day', time) - make_dt_interval(issued) AS TIMESTAMP_NTZ) AS issued")
+    raw = raw.join(issues, "issued").withColumn("temp", F.col("temp") + F.day("issued") / 10.0)
+    rows = months.forecast_rows(raw, "2024-01-12", 2, (41.15, 41.45, 1.85, 2.35))
+    cells = v.table(s, d, "nation").selectExpr(
+        "concat('41.', 300 + n_nationkey, '_2.', 100 + n_nationkey) AS weatherStation",
+        "concat(round(41.2D + 0.1D * (n_nationkey % 3), 1), '_', round(1.9D + 0.1D * (n_nationkey % 5), 1)) AS near", "n_nationkey * 20.0D AS elevation",
+    )
+    root = scratch_path(s, "forecast")
+    months.write_forecast(downscale.station_baseline(rows, cells, run=["forecastingTime"]), root, "2024-01-12")
+    out = s.read.parquet(root)
+    return out.select("forecastingTime", "time", "weatherStation", F.date_format("predicted", "yyyy-MM-dd").alias("predicted"), *[(F.round(c, 5) + 0.0).alias(c) for c in VARS])

@@ -92,6 +92,15 @@ def _(s, d):
     return rounded(series.rolling_min(daily, "m", 3, time="date", alias="low").drop("m").withColumn("date", F.col("date").cast("string")), "low")
 
 
+@query("w6_rank_of_many_zeros", """WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 = 0 THEN l_extendedprice ELSE 0.0::double END AS price, CASE WHEN l_orderkey % 3 > 0 THEN l_discount END AS discount FROM lineitem), t AS (SELECT count(*) AS n FROM x)
+SELECT l_orderkey, l_linenumber, round(count(price) OVER (ORDER BY price RANGE UNBOUNDED PRECEDING) / (n - 1)::double, 6) AS price_percentile,
+ CASE WHEN discount IS NULL THEN 0 ELSE round(sum(CASE WHEN discount IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY discount NULLS FIRST RANGE UNBOUNDED PRECEDING) / (n - 1)::double, 6) END AS discount_percentile FROM x, t""")
+def _(s, d):
+    """A column of nine zeros in ten, and one of few values and nulls."""
+    x = v.table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE WHEN l_orderkey % 10 = 0 THEN l_extendedprice ELSE 0D END AS price", "CASE WHEN l_orderkey % 3 > 0 THEN l_discount END AS discount")
+    return rounded(order.ecdf_rank(x, ["price", "discount"], ["l_orderkey", "l_linenumber"]), "price_percentile", "discount_percentile")
+
+
 @query("w6_ecdf_rank", f"""WITH {v.CELLS}, x AS (SELECT p_partkey AS cell, p_size AS a, p_retailprice AS b FROM part), t AS (SELECT count(*) AS n FROM x)
 SELECT cell, round(count(*) OVER (ORDER BY a RANGE UNBOUNDED PRECEDING) / (n - 1), 6) AS a_percentile,
        round(count(*) OVER (ORDER BY b RANGE UNBOUNDED PRECEDING) / (n - 1), 6) AS b_percentile, 0.0::double AS c_percentile FROM x, t""")

@@ -61,6 +61,28 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Raw history rows of two stations over several years, one a day.
+DAYS = """days AS (
+  SELECT max(o_orderkey) AS event_id, o_orderdate AS valid_time, round(41.2::double + 0.1::double * (o_custkey % 2), 1) AS latitude, 2.1::double AS longitude,
+         max(o_totalprice) AS value FROM orders GROUP BY o_orderdate, o_custkey % 2),
+raw AS (
+  SELECT event_id, valid_time, latitude, longitude, value % 7 - 3 AS u10, value % 5 - 2 AS v10, 273.15::double + value % 40 AS t2m,
+         273.15::double + value % 40 - event_id % 20 AS d2m, value % 2 AS lai_lv, value % 3 AS lai_hv, (event_id % 7) * 0.001::double AS tp,
+         (event_id % 11) * 360000.0::double AS ssrd, 0.1::double + value % 1 / 10 AS fal, 280.0::double + value % 10 AS stl4, value % 1 AS swvl4
+  FROM days)"""
+
+
+def raw_days(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "orders").groupBy(F.expr("o_orderdate AS valid_time"), F.expr("round(41.2D + 0.1D * (o_custkey % 2), 1) AS latitude")).agg(
+        F.max("o_orderkey").alias("event_id"), F.max("o_totalprice").alias("value")
+    )
+    return days.selectExpr(
+        "event_id", "valid_time", "latitude", "2.1D AS longitude", "value % 7 - 3 AS u10", "value % 5 - 2 AS v10", "273.15D + value % 40 AS t2m",
+        "273.15D + value % 40 - event_id % 20 AS d2m", "value % 2 AS lai_lv", "value % 3 AS lai_hv", "(event_id % 7) * 0.001D AS tp",
+        "(event_id % 11) * 360000.0D AS ssrd", "0.1D + value % 1 / 10 AS fal", "280.0D + value % 10 AS stl4", "value % 1 AS swvl4",
+    )
+
+
 # Monthly predictions over several years.
 MONTHLY = """monthly AS (
   SELECT o_orderkey, o_orderdate AS time, concat('41.', 31 + o_custkey % 40, '_2.', 11 + o_custkey % 25) AS weatherStation,

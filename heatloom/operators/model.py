@@ -8,8 +8,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import forecast_hours, fourier, issue_time
@@ -186,6 +186,21 @@ def best_rounds(errors: Sequence[float], patience: int) -> int:
     return best + 1
 
 
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first trees of a boosted one."""
+    if rounds >= model.getNumTrees:
+        return model
+    java = model._java_obj
+    sc = SparkSession.active().sparkContext
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:rounds], model.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    short = GBTRegressionModel(sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights))
+    short._resetUid(java.uid())
+    return short.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
 def train(df: DataFrame, features: Sequence[str], targets: Sequence[str] = tuple(TARGETS),
           params: Mapping | None = None, validation: str | None = None) -> PipelineModel:
     """One boosted-tree regressor per target, label ``y_<t>``, output
@@ -194,7 +209,7 @@ def train(df: DataFrame, features: Sequence[str], targets: Sequence[str] = tuple
     Rows marked by the boolean column ``validation`` are not trained on. The
     model is the one of the round after which ``patience`` rounds bring no
     smaller error on them; without such rows all rounds count. Trees do not
-    depend on later ones, so fitting that many rounds again gives the same trees.
+    depend on later ones, so the first of one fit are those of a shorter fit.
     Lineage is cut in the shared scratch folder every ten rounds.
     """
     p = {**TRAINING, **(params or {})}
@@ -216,8 +231,7 @@ def train(df: DataFrame, features: Sequence[str], targets: Sequence[str] = tuple
         fitted = gbt.fit(fit_on)
         if held is not None and not held.isEmpty():
             rounds = best_rounds(fitted.evaluateEachIteration(held, "squared"), p["patience"])
-            if rounds < p["iterations"]:
-                fitted = gbt.setMaxIter(rounds).fit(fit_on)
+            fitted = first_rounds(fitted, rounds)
         models.append(fitted)
     return PipelineModel(stages=[assembler, *models])
 

@@ -123,45 +123,55 @@ def quantile_stats(
     return found.select(*group, blend("lo", lo).alias("q05"), blend("hi", hi).alias("q95"))
 
 
-def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: int = 64) -> DataFrame:
+# A value counts as common if it is that of more than one row in this many, so a
+# column has fewer than this many common values.
+COMMON_SHARE = 1000
+SALTS = 4096
+
+
+def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: int | None = None) -> DataFrame:
     """``<col>_percentile`` = count(values <= value) / (n - 1) for each column.
 
     Every row comes back, also where ``ids`` repeat. Constant columns, single rows and null
-    values give 0. Equal values are counted before anything is sorted; sorted
-    runs are cut at approximate quantiles of the distinct values.
+    values give 0. Equal values are counted before anything is sorted. Distinct values are cut into
+    ranges of even size, as many as their amount asks for (``splits`` fixes the number before small ranges are
+    joined), and added up within each. Ranks of common values, fewer than
+    1,000 a column, are sent to the rows; the others are joined, and no key has more than a thousandth of a column's rows.
     """
     named, ids, cols = list(ids), [*ids, "_row"], list(cols)
     # Numbered once and written, so that a row keeps its number in every scan.
     df = materialise(df.select(*named, *cols).withColumn("_row", F.monotonically_increasing_id()), "ranked-rows")
     long = _unpivot(df, ids, cols)
     counts = long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count("*").alias("_n"))
-    counts = materialise(counts, "value-counts")
-    cuts = counts.groupBy("variable").agg(
-        F.percentile_approx("value", [i / splits for i in range(1, splits)], 1000).alias("_cuts"),
-        F.count("*").alias("_distinct"),
-    )
-    cut = counts.join(cuts, "variable").withColumn(
-        "_b", F.size(F.filter("_cuts", lambda s: s < F.col("value")))
-    )
+    # The number of the range is written with the value: it never falls while the values grow.
+    cut = counts.repartitionByRange(splits, "variable", "value") if splits else counts.repartitionByRange("variable", "value")
+    cut = materialise(cut.withColumn("_b", F.spark_partition_id()), "value-counts")
     inside = Window.partitionBy("variable", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("variable").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy("variable", "_b").agg(F.sum("_n").alias("_m")).select(
-        "variable", "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off")
+    whole = Window.partitionBy("variable")
+    offsets = cut.groupBy("variable", "_b").agg(F.sum("_n").alias("_m"), F.count("*").alias("_k")).select(
+        "variable", "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"), F.sum("_k").over(whole).alias("_distinct")
     )
-    total = df.agg(F.count("*").alias("n"))
-    n = total.scalar()
+    n = df.agg(F.count("*").alias("n")).scalar()
     ranks = cut.withColumn("_c", F.sum("_n").over(inside)).join(offsets, ["variable", "_b"]).select(
         "variable", "value",
         F.when((n <= 1) | (F.col("_distinct") == 1) & (n == F.col("_n")), F.lit(0.0))
         .otherwise((F.col("_c") + F.col("_off")) / F.nullif(n - 1, F.lit(0)))
         .alias("_rank"),
+        (F.col("_n") * COMMON_SHARE > n).alias("_common"),
     )
     ranks = materialise(ranks, "value-ranks")
+    common = ranks.where("_common").select("variable", "value", F.col("_rank").alias("_known"))
+    rare = ranks.where("NOT _common").select("variable", "value", F.lit(0).alias("_salt"), "_rank")
+    # Rows that need no join get a salt that no rank has, which spreads them.
+    spread = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int") + 1
+    needless = F.col("_known").isNotNull() | F.col("value").isNull()
+    salted = long.join(F.broadcast(common), ["variable", "value"], "left").withColumn("_salt", F.when(needless, spread).otherwise(0))
     wide = (
-        long.join(ranks, ["variable", "value"], "left")
+        salted.join(rare, ["variable", "value", "_salt"], "left")
         .groupBy(*ids)
         .pivot("variable", cols)
-        .agg(F.coalesce(F.max("_rank"), F.lit(0.0)))
+        .agg(F.coalesce(F.max(F.coalesce("_known", "_rank")), F.lit(0.0)))
     )
     return wide.select(*named, *[F.col(c).alias(f"{c}_percentile") for c in cols])
 

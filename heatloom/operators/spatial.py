@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import euclid, to_utm
@@ -384,3 +384,51 @@ def nearest(locations: DataFrame, stations: DataFrame, name: str = "name") -> Da
         .agg(F.min(F.struct(exact.alias("dist"), F.col("weatherStation").alias("s"))).alias("_best"))
         .select(name, F.col("_best.s").alias("weatherStation"), F.col("_best.dist").alias("dist"))
     )
+
+
+def k_nearest(locations: DataFrame, stations: DataFrame, k: int = 5, name: str = "name") -> DataFrame:
+    """The ``k`` nearest stations of each location by distance in degrees: name, rank (from 1), weatherStation and dist.
+
+    ``locations(name, lat, lon)``, ``stations(weatherStation, lat, lon)``; ties go to the smaller station key. A
+    location has fewer rows only if there are fewer stations. Null or NaN coordinates take no part. A pyramid of buckets knows how many stations
+    each holds and the box they lie in: the least distance within which boxes with k stations end bounds the k-th nearest, and
+    only stations in the 3 x 3 buckets at least that wide are compared. The result is exact.
+    """
+    def known(df: DataFrame) -> DataFrame:
+        # NaN is no key of a bucket; NaN >= everything.
+        return df.where((F.abs("lat") <= 360) & (F.abs("lon") <= 360))
+
+    st = known(stations.select("weatherStation", "lat", "lon").where("weatherStation IS NOT NULL")).distinct()
+    # Of stations at one spot only the first k can be among the nearest.
+    first = Window.partitionBy("lat", "lon").orderBy("weatherStation")
+    st = st.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    st = materialise(st.select("weatherStation", F.col("lat").alias("_sa"), F.col("lon").alias("_sb")), "stations")
+    places = materialise(known(locations.select(name, "lat", "lon")).distinct().withColumn("_place", F.monotonically_increasing_id()), "places")
+    tower, keys = _pyramid(st, "_sa", "_sb"), ["_l", "_ca", "_cb"]
+    boxes = tower.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min("_sa").alias("_a0"), F.max("_sa").alias("_a1"), F.min("_sb").alias("_b0"), F.max("_sb").alias("_b1")
+    )
+
+    def off(at: str, low: str, high: str) -> Column:
+        return F.greatest(F.abs(F.col(at) - F.col(low)), F.abs(F.col(at) - F.col(high)))
+
+    zero = F.lit(0.0)
+    ends = _around(_pyramid(places, "lat", "lon")).join(boxes, keys).withColumn("_end", euclid(off("lat", "_a0", "_a1"), off("lon", "_b0", "_b1"), zero, zero))
+    # At most nine buckets of one level, so no station counts twice.
+    nine = F.sort_array(F.collect_list(F.struct("_end", "_n")))
+    reached = F.aggregate(
+        nine, F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("end")),
+        lambda acc, b: F.struct((acc["n"] + b["_n"]).alias("n"), F.coalesce(acc["end"], F.when(acc["n"] + b["_n"] >= k, b["_end"])).alias("end")),
+    )
+    bounds = ends.groupBy("_place", "_l").agg(reached["end"].alias("_end")).groupBy("_place").agg(F.min("_end").alias("_ub"))
+    level = F.ceil(F.log2(F.greatest(F.col("_ub"), F.lit(PYRAMID_BASE)) / F.lit(PYRAMID_BASE)))
+    # One level up leaves room for rounding in the bound; without one, all stations are wanted.
+    level = F.when(F.col("_ub").isNull(), PYRAMID_LEVELS - 1).otherwise(F.least(level + 1, F.lit(PYRAMID_LEVELS - 1))).cast("int")
+    wanted = _around(_pyramid(places.join(bounds, "_place", "left"), "lat", "lon").where(F.col("_l") == level))
+    exact = euclid(F.col("lat"), F.col("lon"), F.col("_sa"), F.col("_sb"))
+    nearest_first = Window.partitionBy("_place").orderBy("dist", "weatherStation")
+    return (
+        wanted.join(tower, keys).withColumn("dist", exact).where(F.col("dist") <= F.coalesce("_ub", "dist") * (1 + 2.0**-40))
+        .withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+        .select(name, "rank", "weatherStation", "dist")
+    )

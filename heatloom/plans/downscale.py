@@ -21,6 +21,7 @@ from ..operators.spatial import (
     cell_attributes, crop_pixels, left_fill_zero, points_in_cells, sample_raster, zonal_stats,
 )
 from ..operators.tables import common_times
+from ..sources.tables import static_store_columns
 
 # Building attributes summed per cell, and the one averaged.
 BUILDING_SUMS = [
@@ -40,6 +41,8 @@ BUILDING_SUMS = [
     "n_dwellings",
 ]
 BUILDING_MEANS = ["n_floors_above_ground"]
+# Computed columns that are not stored; 18 features stay.
+NOT_STORED = ["building_area_urbanization_and_landscaping_works_undeveloped_land_percentile", "geometry"]
 CELL_METRES = 100.0
 
 
@@ -77,7 +80,8 @@ def static_features(
     zones = zonal_stats(cells, green, half, key).drop("x", "y")
 
     wide = materialise(high.join(ranked, key).join(zones, key), "cell-features")
-    return minmax_01(wide, [c for c in wide.columns if c != key])
+    stored = static_store_columns(wide, NOT_STORED)
+    return minmax_01(stored, [c for c in stored.columns if c != key])
 
 
 def training_hours(hr: DataFrame, lr: DataFrame, n_hours: int = TRAINING["n_hours"]) -> DataFrame:
@@ -130,3 +134,16 @@ def predict_grid(
     x = normalise(lr, lr_stats, variables)
     features = grid_features(x, static, variables, stations, n_harmonics, shards=shards, run=run)
     return assemble_predictions(predict(model, features), hr_stats, targets, (*run, "time", "weatherStation"))
+
+
+def station_baseline(
+    lr: DataFrame, cells: DataFrame, targets: Sequence[str] = tuple(TARGETS), lapse: float = 0.0065, run: Sequence[str] = (),
+) -> DataFrame:
+    """What models are held against: each of ``cells(weatherStation, near, elevation)`` takes the values of its coarse station
+    ``near``, the temperature lowered by ``lapse`` degrees for each metre that it lies higher."""
+    values = lr.select(F.col("weatherStation").alias("near"), *run, "time", *targets)
+    lower = F.col("airTemperature") - F.col("elevation") * F.lit(float(lapse))
+    return (
+        values.join(cells.select("weatherStation", "near", "elevation"), "near").withColumn("airTemperature", lower)
+        .select(*run, "time", "weatherStation", *targets)
+    )
