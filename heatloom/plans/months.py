@@ -42,8 +42,8 @@ def fill_months(
     whole or not at all: a rerun after a failure goes on with what is missing, and one
     without new months changes nothing. The edge rows of stored months that get a new neighbour are
     merged in again. So months that come in any order, also late into a hole, give what one pass over everything gives, for stations
-    with at least four rows in each month. ``raw`` has one row for each place and time; rows without a time
-    belong to no month. ``box`` is as in :func:`within_bbox`.
+    with at least four rows in each month. A month of which no row is left after
+    harmonising is not stored and is tried again. ``raw`` has one row for each place and time; rows without a time belong to no month. ``box`` is as in :func:`within_bbox`.
     """
     spark = raw.sparkSession
     if box is not None:

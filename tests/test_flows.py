@@ -182,6 +182,18 @@ def test_static_features_are_scaled(spark):
     assert set(got.columns) == {"weatherStation", "elevation", "area_percentile", "floors_percentile", "ndvi_min", "ndvi_max", "ndvi_mean"}
 
 
+def test_eighteen_static_features_are_stored(spark):
+    cells = spark.range(9).selectExpr("concat('c', id) AS weatherStation", "50D + 100 * (id % 3) AS x", "50D + 100 * (id div 3) AS y")
+    raster = spark.range(900).selectExpr("CAST(id div 30 AS INT) AS row", "CAST(id % 30 AS INT) AS col", "CAST(id % 200 + 1 AS DOUBLE) AS value")
+    each = [F.expr(f"hash(weatherStation, {i}) % 50 * 1D").alias(c) for i, c in enumerate(downscale.BUILDING_SUMS + downscale.BUILDING_MEANS)]
+    buildings = cells.select(F.col("x").alias("bx"), F.col("y").alias("by"), *each)
+    affine = (0.0, 10.0, 300.0, 10.0)
+    got = downscale.static_features(cells, raster, affine, buildings, raster, affine, (0.0, 0.0, 300.0, 300.0))
+    features = [c for c in got.columns if c != "weatherStation"]
+    assert len(features) == 18 and got.count() == 9
+    assert not [c for c in features if "undeveloped" in c or c == "geometry"]
+
+
 def test_training_beats_the_mean_and_predicts_every_row(spark):
     data = [
         (h, T0 + dt.timedelta(hours=h), "41.3_2.1", float(h % 24) / 24, None if h % 7 == 0 else h % 5 / 5.0, (h % 24) / 24 * 0.8 + 0.1)
