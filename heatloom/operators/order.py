@@ -137,12 +137,12 @@ def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: in
     ranges of even size, as many as their amount asks for (``splits`` fixes the number before small ranges are
     joined), and added up within each. Ranks of common values, fewer than
     1,000 a column, are sent to the rows; the others are joined, and no key has more than a thousandth of a column's rows.
+    Rows are joined column after column and never grouped, so a task holds no more of them than a join sorts, or spills.
     """
-    named, ids, cols = list(ids), [*ids, "_row"], list(cols)
+    named, cols = list(ids), list(cols)
     # Numbered once and written, so that a row keeps its number in every scan.
     df = materialise(df.select(*named, *cols).withColumn("_row", F.monotonically_increasing_id()), "ranked-rows")
-    long = _unpivot(df, ids, cols)
-    counts = long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count("*").alias("_n"))
+    counts = _unpivot(df, [], cols).where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count("*").alias("_n"))
     # The number of the range is written with the value: it never falls while the values grow.
     cut = counts.repartitionByRange(splits, "variable", "value") if splits else counts.repartitionByRange("variable", "value")
     cut = materialise(cut.withColumn("_b", F.spark_partition_id()), "value-counts")
@@ -161,19 +161,18 @@ def ecdf_rank(df: DataFrame, cols: Sequence[str], ids: Sequence[str], splits: in
         (F.col("_n") * COMMON_SHARE > n).alias("_common"),
     )
     ranks = materialise(ranks, "value-ranks")
-    common = ranks.where("_common").select("variable", "value", F.col("_rank").alias("_known"))
-    rare = ranks.where("NOT _common").select("variable", "value", F.lit(0).alias("_salt"), "_rank")
     # Rows that need no join get a salt that no rank has, which spreads them.
     spread = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int") + 1
-    needless = F.col("_known").isNotNull() | F.col("value").isNull()
-    salted = long.join(F.broadcast(common), ["variable", "value"], "left").withColumn("_salt", F.when(needless, spread).otherwise(0))
-    wide = (
-        salted.join(rare, ["variable", "value", "_salt"], "left")
-        .groupBy(*ids)
-        .pivot("variable", cols)
-        .agg(F.coalesce(F.max(F.coalesce("_known", "_rank")), F.lit(0.0)))
-    )
-    return wide.select(*named, *[F.col(c).alias(f"{c}_percentile") for c in cols])
+    needless = F.col("_known").isNotNull() | F.col("_value").isNull()
+    out = df
+    for i, c in enumerate(cols):
+        own = ranks.where(F.col("variable") == c).withColumnRenamed("value", "_value")
+        common = own.where("_common").select("_value", F.col("_rank").alias("_known"))
+        rare = own.where("NOT _common").select("_value", F.lit(0).alias("_salt"), "_rank")
+        out = out.withColumn("_value", F.col(c).cast("double")).join(F.broadcast(common), "_value", "left")
+        out = out.withColumn("_salt", F.when(needless, spread).otherwise(0)).join(rare, ["_value", "_salt"], "left")
+        out = out.withColumn(f"_rank{i}", F.coalesce("_known", "_rank", F.lit(0.0))).drop("_value", "_known", "_salt", "_rank")
+    return out.select(*named, *[F.col(f"_rank{i}").alias(f"{c}_percentile") for i, c in enumerate(cols)])
 
 
 def minmax_01(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -153,6 +153,17 @@ def test_ecdf_rank_equals_counting(spark, splits):
         assert r["v_percentile"] == pytest.approx(sum(x <= r["v"] for x in values) / 399)
 
 
+def test_ecdf_rank_keeps_rows_out_of_aggregates(spark):
+    """Rows are only joined with ranks: an aggregate of them would hold a task's whole share in memory."""
+    df = spark.range(3000).selectExpr("id div 2 AS id", "CASE WHEN id % 10 = 0 THEN id % 700 / 7D ELSE -0D END AS v", "CASE WHEN id % 3 > 0 THEN id % 11 END AS c")
+    got = order.ecdf_rank(df, ["v", "c"], ["id"])
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    held = [tuple(r) for r in df.collect()]
+    at_most = lambda k, x: 0.0 if x is None else sum(r[k] is not None and r[k] <= x for r in held) / 2999
+    known = {(k, x): at_most(k, x) for k in (1, 2) for x in {r[k] for r in held}}
+    assert rows(got) == sorted(((i, known[1, v], known[2, c]) for i, v, c in held), key=repr)
+
+
 @pytest.mark.parametrize("value", ["abs(hash(id)) % 5000 / 7D", "hash(id) / 1e6D", "1e9D + rand(3)", "CASE WHEN id % 5 = 0 THEN double('-Infinity') ELSE 4.9e-324D * (id % 3) END", "-id % 4 * 1e308D"])
 def test_quantiles_equal_percentile(spark, value):
     df = spark.range(30000).selectExpr(
