@@ -5,6 +5,7 @@ import re
 from array import array
 from collections import Counter
 from fractions import Fraction
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,29 @@ def test_tokens_equal_whole_encoding():
     assert small("one two three four one two three four") == encode("one two three four one two three four")
 
 
+def test_encoder_remembers_many_words():
+    """Unknown words are most of the cost of encoding, so each is asked for once while there is room."""
+    encode, asked = tokens.Encoder(tokens.default_tokenizer()), []
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return []
+
+    encode.model = Model()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [" " + "".join(x) for x in product(letters, letters, letters, letters[:22])]
+    for w in words * 2:
+        encode[w]
+    assert len(asked) == len(words) == 386_672
+
+
+@pytest.mark.parametrize("t", ["to be <|endoftext|> or not", "<|endoftext|>", "a\u00a0b  c", "a <|endoftext| >b", "x\u200by\n\n z"])
+def test_special_tokens_and_blanks_equal_whole_encoding(t):
+    encode = tokens.encoder(tokens.default_tokenizer())
+    assert encode(t) == array("I", encode.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+
+
 def test_record_frames():
     import io
 
